@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import OP7_SQL, op7_chat
 from tidemark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
+from tidemark.llm.secrets import op9_secrets
+from tidemark.llm.tiff import op3_tiff
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_tiff": op3_tiff,
     "op5_mixing": op5_mixing,
+    "op7_chat": op7_chat,
+    "op9_secrets": op9_secrets,
 }
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
     "op5_mixing": OP5_SQL,
+    "op7_chat": OP7_SQL,
 }
