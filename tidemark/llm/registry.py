@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from tidemark.llm.chat import OP7_SQL, op7_chat
+from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
+from tidemark.llm.pii import op1_pii
 from tidemark.llm.secrets import op9_secrets
 from tidemark.llm.tiff import op3_tiff
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_line_dedup": op2_line_dedup,
     "op3_tiff": op3_tiff,
+    "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
     "op7_chat": op7_chat,
     "op9_secrets": op9_secrets,
