@@ -72,7 +72,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     few = anchors.count() <= BROADCAST_ANCHORS
 
     texts = docs.select(known_id(id_col).alias("doc"), word_hashes(F.col(text_col)).alias("words")).withColumn("shingles", _shingles("words", shingle))
-    places = texts.select("doc", "words", F.posexplode("shingles").alias("place", "shingle"))
+    # the outer form: for the inner one the optimizer adds a filter that computes the shingles anew
+    places = texts.select("doc", "words", F.posexplode_outer("shingles").alias("place", "shingle"))
     hits = places.join(F.broadcast(anchors) if few else anchors, "shingle")
     hits = hits.select("doc", "length", (F.col("place") - F.col("at")).alias("start"), "words")
     windows = hits.selectExpr("doc", "length", "start", "slice(words, greatest(start, 0) + 1, length + least(start, 0)) AS words").distinct()
