@@ -6,6 +6,7 @@ from tidemark.llm.chat import OP7_SQL, op7_chat
 from tidemark.llm.decontaminate import op4_decontaminate
 from tidemark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
+from tidemark.llm.near_dup import OP8_SQL, op8_near_dup
 from tidemark.llm.pii import op1_pii
 from tidemark.llm.secrets import op9_secrets
 from tidemark.llm.tiff import op3_tiff
@@ -17,10 +18,12 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
     "op7_chat": op7_chat,
+    "op8_near_dup": op8_near_dup,
     "op9_secrets": op9_secrets,
 }
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op7_chat": OP7_SQL,
+    "op8_near_dup": OP8_SQL,
 }
