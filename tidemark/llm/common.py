@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,8 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Run ``work`` over slices of rows: columns as lists in, columns as lists out."""
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
@@ -70,6 +70,51 @@ def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[list], Iterable[bool]]) -> DataFrame:
+    """The rows whose texts are kept, all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield part.filter(pa.array(list(keep(part.column(text_col).to_pylist())), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def add_columns(df: DataFrame, text: str, work: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
+    """All columns as they are, and those that ``work`` makes of a column of texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    new = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                out = work(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(out[f.name], f.type) for f in arrow]], names=[*part.schema.names, *arrow.names])
+
+    return df.mapInArrow(run, StructType(df.schema.fields + new.fields))
+
+
+#: A table of ids is broadcast up to so many rows.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not among ``gone`` (one column, doc, made known).
+
+    ``gone`` is counted first: few ids are broadcast; beyond, documents are dealt out by id and
+    meet the ids in memory, so that texts are never sorted.
+    """
+    gone = cut(gone.select(F.col("doc").alias("__tidemark_gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    return docs.join(side, known_id(id_col) == F.col("__tidemark_gone"), "left_anti")
+
+
 def known_id(column: str) -> Column:
     """The identifier with null made a value that joins and orders after every other."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))

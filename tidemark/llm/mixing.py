@@ -19,10 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_slices, table
+from tidemark.llm.common import add_columns, cut, table
 
-#: Key buckets to the octave; one bucket holds at most about a 1/10,000 of a source's rows.
-BUCKETS = 4096
+#: Key buckets to the octave; one bucket holds at most about a 1/1,000 of a source's rows,
+#: and a source has some 10,000 sums of buckets at most, however many documents.
+BUCKETS = 512
+#: Targets are broadcast for up to so many sources; beyond, rows and targets are dealt out.
+BROADCAST_SOURCES = 10_000
 #: Source weights, repeating in code-point order of the sources; the share of all sizes; the cap.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 
@@ -67,8 +70,9 @@ def mix(sized: DataFrame, targets: DataFrame, seed: str = "", buckets: int = BUC
     so_far = Window.partitionBy("source").orderBy("bucket")
     edge = sums.withColumn("upto", F.sum("words").over(so_far)).join(goal, same).where("upto - words < rest and rest <= upto")
     edge = edge.groupBy(F.col("source").alias("edge_source")).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-    goal = goal.join(edge, F.col("goal_source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source")
-    rows = keyed.join(goal, same).drop("goal_source")
+    goal = cut(goal.join(edge, F.col("goal_source").eqNullSafe(F.col("edge_source")), "left").drop("edge_source"))
+    # one row a source: with few sources no document needs to be dealt out by its source
+    rows = keyed.join(F.broadcast(goal) if goal.count() <= BROADCAST_SOURCES else goal, same).drop("goal_source")
     inner = rows.where("bucket = edge.bucket")
     before = Window.partitionBy("source").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     inner = inner.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("edge.before") - F.coalesce(F.sum("size").over(before), F.lit(0)))))
@@ -76,23 +80,40 @@ def mix(sized: DataFrame, targets: DataFrame, seed: str = "", buckets: int = BUC
     return outer.unionByName(inner).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
 
 
-def sized(docs: DataFrame, columns: str = "doc_id long, source string") -> DataFrame:
-    """Words of each text and its quality weight: (distinct words + 1) / (words + 1)."""
+def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """With the words of each text and its quality weight, (distinct words + 1) / (words + 1)."""
 
-    def work(c: dict[str, list]) -> dict[str, list]:
-        words = [(t or "").encode().split() for t in c.pop("text")]
-        c["size"] = [len(w) for w in words]
-        c["quality"] = [(len(set(w)) + 1) / (len(w) + 1) for w in words]
-        return c
+    def work(texts: list) -> dict[str, list]:
+        words = [(t or "").encode().split() for t in texts]
+        return {"size": [len(w) for w in words], "quality": [(len(set(w)) + 1) / (len(w) + 1) for w in words]}
 
-    return map_slices(docs, work, f"{columns}, size long, quality double")
+    return add_columns(docs, text_col, work, "size long, quality double")
+
+
+def _mixed(weighed: DataFrame, seed: str) -> DataFrame:
+    targets = source_targets(weighed.groupBy("source").agg(F.sum("size").alias("source_size")))
+    return mix(weighed, cut(targets), seed)
 
 
 def mix_documents(docs: DataFrame, seed: str = "") -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken) of documents(doc_id, source, text)."""
-    weighed = cut(sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")))
-    targets = source_targets(weighed.groupBy("source").agg(F.sum("size").alias("source_size")))
-    return mix(weighed, cut(targets), seed).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+    weighed = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text")
+    return _mixed(cut(weighed), seed).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+
+
+MADE = ("size", "source_size", "target", "epochs", "taken")
+
+
+def mixture(docs: DataFrame, seed: str = "") -> DataFrame:
+    """The documents that the mix takes words of, with their columns and ``MADE``.
+
+    A column of the documents that has one of these names becomes ``documents_<name>``. Only
+    rows of the buckets at the edge are dealt out with their texts.
+    """
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    weighed = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", row)).drop("text")
+    own = [F.col(f"row.`{n}`").alias(f"documents_{n}" if n in MADE else n) for n in docs.columns]
+    return _mixed(cut(weighed), seed).where("taken > 0").select(*own, *MADE)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
