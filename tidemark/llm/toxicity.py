@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, held_out, map_slices, table
+from tidemark.llm.common import cut, held_out, keep_rows, map_slices, table
 from tidemark.llm.learning import Scale, logistic, sigmoid, training_rows
 
 MAX_LABELLED, MAX_TERMS = 30_000, 2000
@@ -302,6 +302,19 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
     return map_slices(docs.select(*[F.col(f"`{f.name}`") for f in fields], F.col(text_col).alias("__tidemark_text")), work, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model, most: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score under ``most``, all columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    readers: list[Reader] = []
+
+    def keep(texts: list) -> list[bool]:
+        if not readers:
+            readers.append(sent.value.lexicon.reader())
+        return (sent.value.score([features(t, readers[0]) for t in texts]) < most).tolist()
+
+    return keep_rows(docs, text_col, keep)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = scored(docs, train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
