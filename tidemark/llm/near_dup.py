@@ -45,7 +45,7 @@ SHIFTS = _RANDOM.randint(0, 2**63 - 1, BANDS * ROWS + SIGNATURE, dtype=np.uint64
 FOR_BANDS, FOR_SIGNATURE = slice(0, BANDS * ROWS), slice(BANDS * ROWS, None)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Products of shingles and hash functions at a time; words whose hashes a task remembers.
-CHUNK, REMEMBERED = 1 << 17, 400_000
+CHUNK, REMEMBERED = 1 << 17, 150_000
 
 
 class Words(dict):
@@ -125,12 +125,18 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those (a, b) whose sizes, signatures and, at last, whole sets are similar enough."""
+    """Those (a, b) whose sizes, signatures and, at last, whole sets are similar enough.
+
+    pairs: (a, b, of), b being in at most ``of`` pairs or few. What a very frequent b brings
+    together is dealt out by the hash of a, over copies of b's set.
+    """
     percent = round(100 * similarity)
     names = ("n", "shingles", "signature")
+    parts = F.ceil(F.col("of") / BLOCK).cast("int")
     left = sets.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    right = sets.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    copies = pairs.groupBy(F.col("b").alias("node")).agg(F.max(parts).alias("parts"))
+    right = sets.join(copies, "node").select(F.col("node").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"b_{c}") for c in names])
+    both = pairs.select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part")).join(left, "a").join(right, ["b", "part"])
     both = both.where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
     both = both.where(F.expr(f"aggregate(zip_with(a_signature, b_signature, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {(similarity - SLACK) * SIGNATURE}"))
     both = both.select("a", "b", F.size(F.array_intersect("a_shingles", "b_shingles")).cast("long").alias("shared"), (F.col("a_n") + F.col("b_n")).alias("sizes"))
@@ -217,7 +223,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("of")).where("leader < last").drop("last")
     members = cut(spread.join(leaders, "bucket"))
     sets = cut(shingle_sets(docs, members.select("node").distinct(), id_col, text_col, shingle))
-    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.max("of").alias("of"))
     labels = connected_components(cut(_confirmed(pairs, sets, similarity)), cut)
 
     members = members.drop("leader")
@@ -231,9 +237,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = pairs_left <= OPEN_PAIRS * rows_left or round_ > STAR_ROUNDS
         if last:
-            new = cut(_open_pairs(open_.drop("lead"), nodes, sets, similarity))
+            new = cut(_open_pairs(open_.drop("lead"), nodes, sets, similarity).withColumn("of", F.lit(1)))
         else:
-            new = open_.where("component <> lead.component").select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
+            new = open_.where("component <> lead.component").groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.max("of").alias("of"))
         found = cut(_confirmed(new, sets, similarity))
         if not found.isEmpty():
             # the components so far are stars already: their edges stand for all links behind them
