@@ -88,27 +88,44 @@ def spans_and_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFra
     return df.select("row", "id", "base", "candidates")
 
 
+def _met(rows: DataFrame, table_: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Rows with what the table (keys, n, ..) has for their keys, n being the key's rows.
+
+    Keys of more than a thousandth of all edges are fewer than a thousand: they are broadcast, so
+    that no frequent key's rows meet in one task; the others are joined as usual.
+    """
+    often = max(100, total // 1000)
+    hot, few = F.broadcast(table_.where(F.col("n") > often)), table_.where(F.col("n") <= often)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(few, keys))
+
+
 def scored_patterns(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(before, shape, confidence, seeds, n): the patterns after some rounds over the graph."""
+    """(before, shape, confidence, seeds, n, total): the patterns after some rounds over the graph;
+    ``total`` is the number of its edges."""
     edges = cut(found.select(F.explode("candidates").alias("c")).groupBy("c.before", "c.shape", "c.value").agg(F.max("c.seed").alias("seed")))
+    total = edges.count()
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     pattern = ["before", "shape"]
     for i in range(rounds):
         patterns = scored.groupBy(*pattern).agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds"), F.count("*").alias("n"))
+        patterns = cut(patterns.withColumn("total", F.lit(total).cast("long")))
         if i + 1 == rounds:
             return patterns
-        known = edges.join(patterns.select(*pattern, "confidence"), pattern)
-        values = known.groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("or"), F.max("seed").alias("any_seed"))
-        scored = edges.join(values, "value").withColumn("score", F.when(F.col("any_seed"), 1.0).otherwise(F.col("or")))
+        known = _met(edges, patterns.select(*pattern, "confidence", "n"), pattern, total)
+        values = cut(known.groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("or"), F.max("seed").alias("any_seed"), F.count("*").alias("n")))
+        scored = _met(edges, values, ["value"], total).withColumn("score", F.when(F.col("any_seed"), 1.0).otherwise(F.col("or")))
     raise ValueError("no rounds")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
     """(row, id, base, extra): spans of each row; ``extra`` are those that contexts discovered."""
     found = cut(spans_and_candidates(docs, id_col, text_col))
-    good = scored_patterns(found).where((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("before", "shape")
+    patterns = scored_patterns(found)
+    total = (patterns.select("total").first() or [0])[0]
+    good = patterns.where((F.col("confidence") >= min_confidence) & (F.col("seeds") >= min_seeds)).select("before", "shape", "n")
     new = found.select("row", F.explode("candidates").alias("c")).where(F.expr(f"not c.seed and length(regexp_replace(c.value, '[^0-9]', '')) >= {MIN_DIGITS}"))
-    new = new.select("row", F.col("c.before").alias("before"), F.col("c.shape").alias("shape"), "c.start", "c.end", "c.value").join(good, ["before", "shape"])
+    new = new.select("row", F.col("c.before").alias("before"), F.col("c.shape").alias("shape"), "c.start", "c.end", "c.value")
+    new = _met(new, good, ["before", "shape"], total)
     extra = new.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "value")).alias("extra"))
     return found.drop("candidates").join(extra, "row", "left")
 

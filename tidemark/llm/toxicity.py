@@ -42,7 +42,7 @@ QUOTES = "\"'`“”„«»‘’‹›"
 REPORTS = frozenset("said says say wrote writes quote quoted quotes called term word words phrase reported reportedly alleged dit dits cite mot sagte sagt schrieb zitat wort dijo dice escribió cita palabra".split())
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted vos".split())
 #: Words that one task remembers; states of the automaton before it starts anew.
-REMEMBERED, MAX_STATES = 400_000, 50_000
+REMEMBERED, MAX_STATES = 150_000, 20_000
 
 
 def edits_allowed(term: str) -> int:
