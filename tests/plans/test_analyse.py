@@ -110,9 +110,8 @@ def tree(at):
     return out
 
 
-@pytest.mark.skipif(not os.path.isdir(GOLDEN), reason="no golden cases")
-def test_golden_cases(spark):
-    """Every case as a folder of one tree: verdict, direction and witness over files."""
+def golden(level):
+    """Every case as a folder of one tree; (files after, answers, change, config's name)."""
     before, after, want, config = {}, {}, {}, "tidemark.toml"
     for case in sorted(os.listdir(GOLDEN)):
         b, a = (tree(f"{GOLDEN}/{case}/{v}") for v in ("before", "after"))
@@ -122,9 +121,16 @@ def test_golden_cases(spark):
         if a == b or not os.path.exists(f"{GOLDEN}/{case}/answers.txt"):
             continue  # what the case is about is not there
         with open(f"{GOLDEN}/{case}/answers.txt", encoding="utf-8") as f:
-            for m in re.finditer(r"^== (\S+) \[file\]\n(?:(?!^== ).)*?-- --json: exit 0\n(\{.*?)\n", f.read(), re.S | re.M):
+            for m in re.finditer(rf"^== (\S+) \[{level}\]\n(?:(?!^== ).)*?-- --json: exit 0\n(\{{.*?)\n", f.read(), re.S | re.M):
                 answer = json.loads(m[2])["anchors"][0]
                 want[f"{case}/{m[1]}"] = (answer["affected"], answer.get("direction"), [x.replace("(", f"({case}/") for x in answer.get("path", [])] or None)
-    got = run(spark, after, Change.read(diff_of(before, after)), list(want), config_name=config)
+    return after, want, Change.read(diff_of(before, after)), config
+
+
+@pytest.mark.skipif(not os.path.isdir(GOLDEN), reason="no golden cases")
+def test_golden_cases(spark):
+    """Verdict, direction and witness over files."""
+    after, want, change, config = golden("file")
+    got = run(spark, after, change, list(want), config_name=config)
     wrong = [k for k, w in want.items() if (got[k]["affected"], got[k]["direction"], got[k]["path"]) != w]
     assert len(want) > 200 and len(wrong) <= 1, wrong

@@ -105,8 +105,8 @@ def layout_before(layout: Layout, change: Change, earlier: dict[str, str]) -> La
     return Layout(texts | {p: t for p, t in earlier.items() if p.endswith(".json")}, layout.declared)
 
 
-def moved_files(now: DataFrame, requests: DataFrame, files: DataFrame, change: Change, resolver: Resolver) -> DataFrame:
-    """Files with an import that resolved to something else in the tree before the change;
+def moved_imports(now: DataFrame, requests: DataFrame, files: DataFrame, change: Change, resolver: Resolver) -> DataFrame:
+    """(path, specifier) of imports that resolved to something else in the tree before the change;
     ``resolver`` knows the configuration of then."""
     spark = files.sparkSession
     gone = spark.createDataFrame([(p,) for p in sorted(change.gone)], "path string")
@@ -114,7 +114,7 @@ def moved_files(now: DataFrame, requests: DataFrame, files: DataFrame, change: C
     before = resolve(requests, files.select("path").join(added, "path", "left_anti").unionByName(gone).distinct(), resolver)
     as_set = lambda df, n: df.groupBy("path", "specifier").agg(F.sort_array(F.collect_set("target")).alias(n))
     both = as_set(now, "now").join(as_set(before, "before"), ["path", "specifier"], "full")
-    return both.where(~F.col("now").eqNullSafe(F.col("before"))).select("path").distinct()
+    return both.where(~F.col("now").eqNullSafe(F.col("before"))).select("path", "specifier").distinct()
 
 
 def _unread_configs(change: Change, earlier: dict[str, str]) -> set[str]:
@@ -152,13 +152,41 @@ def changed_files(files: DataFrame, change: Change, include_types: bool = False)
 ANSWERS = "anchor string, affected boolean, direction string, changed string, path array<string>"
 
 
-def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None) -> DataFrame:
-    """(anchor, affected, direction, changed, path) for each anchor; files: (path, content).
+@dataclass
+class Prepared:
+    """What both granularities need: configuration, requests, changed files and packages."""
+
+    files: DataFrame
+    change: Change
+    layout: Layout
+    earlier: dict[str, str]
+    requests: DataFrame
+    changed: DataFrame
+    packages: DataFrame
+    every: bool
+    groups: dict[tuple, list[str]]
+
+    def for_bundler(self, bundler: tuple) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(resolved, moved (path, specifier), edges (path, specifier, ord, target), marked files and packages)."""
+        resolver = Resolver(self.layout, Bundler(*bundler[:2]))
+        now = cut(resolve(self.requests, self.files, resolver))
+        moved = self.requests.select("path", "specifier").limit(0)
+        if self.change.gone or self.change.added or self.earlier:
+            then = Resolver(layout_before(self.layout, self.change, self.earlier), resolver.bundler)
+            moved = moved_imports(now, self.requests, self.files, self.change, then)
+        unread = _unread_configs(self.change, self.earlier)
+        if unread:
+            moved = moved.unionByName(_governed(self.requests, self.layout, unread).join(self.requests.select("path", "specifier"), "path"))
+        moved = cut(moved.distinct())
+        named = self.requests.where(~F.col("path").rlike(r"\.(" + "|".join(STYLES) + ")$")).withColumn("package", package_name(F.col("specifier"))).where("package <> ''")
+        redirected = named if self.every else named.join(self.packages, "package", "left_semi")
+        redirected = redirected.select("path", "specifier", "ord", F.concat(F.lit("node_modules/"), "package").alias("target"))
+        edges = cut(now.join(redirected.select("path", "specifier"), ["path", "specifier"], "left_anti").unionByName(redirected))
+        return now, moved, edges, redirected.select(F.col("target").alias("path")).distinct()
 
-    ``earlier`` has texts of configuration files before the change, as far as they are known. Anchors whose bundlers differ are searched on edge tables of their own.
-    """
+
+def prepared(files: DataFrame, change: Change, anchors: list[str], config_name: str, include_types: bool, earlier: dict[str, str]) -> Prepared:
     spark = files.sparkSession
-    files = files.select("path", "content")
     layout, errors = read_layout(files, config_name)
     for anchor in anchors:
         above = [e for e in errors if posixpath.dirname(e) == "" or anchor.startswith(posixpath.dirname(e) + "/")]
@@ -167,37 +195,32 @@ def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: s
     known = {r["path"] for r in files.select("path").join(spark.createDataFrame([(a,) for a in anchors], "path string"), "path", "left_semi").collect()}
     if missing := [a for a in anchors if a not in known]:
         raise ValueError(f"no such anchor: {', '.join(missing)}")
-
     requests = cut(scan_files(files.where(is_source(F.col("path")) | is_style(F.col("path"))), include_types))
     changed = cut(changed_files(files, change, include_types))
     texts = files.where(F.element_at(F.split("path", "/"), -1).isin("pnpm-lock.yaml", "package-lock.json")).select("path", F.decode("content", "UTF-8").alias("text"))
     packages = cut(changed_packages(texts, change.rows(spark)))
-    every = packages.where("package is null").count() > 0
-    earlier = earlier or {}
-    unread = _unread_configs(change, earlier)
-
-    groups: dict[Bundler, list[str]] = {}
+    groups: dict[tuple, list[str]] = {}
     for a in anchors:
         b = bundler_of(layout, a)
-        groups.setdefault((b.conditions, b.main_fields), []).append(a)
+        inline = bool(nearest(layout.chain(posixpath.dirname(a)), "inline_requires", False))
+        groups.setdefault((b.conditions, b.main_fields, inline), []).append(a)
+    return Prepared(files, change, layout, earlier, requests, changed, packages, packages.where("package is null").count() > 0, groups)
+
+
+def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None) -> DataFrame:
+    """(anchor, affected, direction, changed, path) for each anchor; files: (path, content).
+
+    ``earlier`` has texts of configuration files before the change, as far as they are known.
+    Anchors whose bundlers differ are searched on edge tables of their own.
+    """
+    p = prepared(files.select("path", "content"), change, anchors, config_name, include_types, earlier or {})
     out = None
-    for (conditions, fields), own in groups.items():
-        resolver = Resolver(layout, Bundler(conditions, fields))
-        now = cut(resolve(requests, files, resolver))
-        marks = changed.select(F.col("path").alias("node"))
-        if change.gone or change.added or earlier:
-            then = Resolver(layout_before(layout, change, earlier), resolver.bundler)
-            marks = marks.unionByName(moved_files(now, requests, files, change, then).select(F.col("path").alias("node")))
-        if unread:
-            marks = marks.unionByName(_governed(requests, layout, unread).select(F.col("path").alias("node")))
-        named = requests.where(~F.col("path").rlike(r"\.(" + "|".join(STYLES) + ")$")).withColumn("package", package_name(F.col("specifier"))).where("package <> ''")
-        redirected = named if every else named.join(packages, "package", "left_semi")
-        redirected = redirected.select("path", "specifier", "ord", F.concat(F.lit("node_modules/"), "package").alias("target"))
-        marks = marks.unionByName(redirected.select(F.col("target").alias("node"))).distinct()
-        edges = now.join(redirected.select("path", "specifier"), ["path", "specifier"], "left_anti").unionByName(redirected)
+    for bundler, own in p.groups.items():
+        _, moved, edges, packages = p.for_bundler(bundler)
+        marks = p.changed.select("path").unionByName(moved.select("path")).unionByName(packages).distinct()
         rank = F.dense_rank().over(matching.Window.partitionBy("path").orderBy("ord", "target"))
         edges = cut(edges.select(F.col("path").alias("src"), F.col("target").alias("dst"), rank.cast("long").alias("ord")))
-        found = answers(edges, own, cut(marks), changed)
+        found = answers(edges, own, cut(marks.select(F.col("path").alias("node"))), p.changed)
         out = found if out is None else out.unionByName(found)
     return out
 
