@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from tidemark.plans import report
 from tidemark.plans.analyse import Change, analyse
 from tidemark.sources.config import ConfigError
 
@@ -98,6 +99,21 @@ def test_no_change_and_errors(spark):
     run(spark, TREE | {"other/tidemark.toml": "[resolve]\nx = 1"}, Change())
 
 
+def test_unresolved_and_reports(spark):
+    extra = {"src/pages/Odd.ts": 'import "./gone"; import "./gone.png"; import "node:fs"; import "fs"; import "left-pad"; import "@/none"; import "#lib/none"; import "react";\n', "node_modules/react/package.json": '{"exports": {"./x": "./x.js"}}'}
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in (TREE | extra).items()], "path string, content binary")
+    anchors = ["src/pages/Odd.ts", "src/lib/sum.ts"]
+    found = analyse(df, Change.read("", ["src/lib/sum.ts"]), anchors).cache()
+    odd = {u["specifier"]: (u["kind"], u["in_repo"]) for u in {r["anchor"]: r for r in found.collect()}["src/pages/Odd.ts"]["unresolved"]}
+    assert odd == {"./gone": ("path", True), "left-pad": ("missing-package", False), "@/none": ("alias", True), "#lib/none": ("alias", True), "react": ("package", True)}
+    told = json.loads(report.render_json(found, anchors, "file"))["anchors"]
+    assert [a["anchor"] for a in told] == anchors and told[1] == {"anchor": "src/lib/sum.ts", "affected": True, "direction": "downstream", "changed": "src/lib/sum.ts", "path": ["File(src/lib/sum.ts)"], "granularity": "file", "unresolved": []}
+    lines = [r["line"] for r in report.verdict_lines(found, "file", explain=True).orderBy("anchor", "n").collect()]
+    assert lines == ['Impact detected on target anchor via: "src/lib/sum.ts"', "Path (downstream, file granularity):", "  File(src/lib/sum.ts)", "No reachability impact detected"]
+    assert report.unresolved_lines(found)[:3] == ["Resolved to nothing: 5 specifier(s), written in 5 file(s).", "  #lib/none", "    src/pages/Odd.ts"]
+    assert report.verdict_of_set(found) == (True, "src/lib/sum.ts") and report.exit_code(found) == 0 and report.exit_code(None) == 2
+
+
 GOLDEN = os.environ.get("TIDEMARK_GOLDEN", "")
 
 

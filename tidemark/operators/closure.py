@@ -21,7 +21,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     Gives the seeds' columns and ``hops``.
     """
     keys = [c for c in seeds.columns if c != "node"]
-    edges = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct()
+    edges = cut(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct())
     level = cut(seeds.distinct().withColumn("hops", F.lit(0).cast("long")))
     levels, hops = [level], 0
     while (max_hops is None or hops < max_hops) and not level.isEmpty():

@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.resolution import Bundler, Layout, Resolver
+from tidemark.functions.resolution import Bundler, Layout, Resolver, alias_targets, joined
 from tidemark.functions.text import STYLES, is_source, is_style, package_name
 from tidemark.functions.types import erased, runs_nothing
-from tidemark.operators import closure, matching
+from tidemark.operators import closure, folds, matching
 from tidemark.shared import cut
-from tidemark.sources.config import CONFIG, ConfigError, nearest, read_config
+from tidemark.sources.config import CONFIG, ConfigError, above, nearest, read_config
 from tidemark.sources.diff import Entry, parse_diff
 from tidemark.sources.lockfile import changed_packages
 from tidemark.sources.scan import scan_files
@@ -149,9 +149,6 @@ def changed_files(files: DataFrame, change: Change, include_types: bool = False)
     return whole.unionByName(plain).unionByName(parts.mapInArrow(run, "path string")).distinct()
 
 
-ANSWERS = "anchor string, affected boolean, direction string, changed string, path array<string>"
-
-
 @dataclass
 class Prepared:
     """What both granularities need: configuration, requests, changed files and packages."""
@@ -189,9 +186,9 @@ def prepared(files: DataFrame, change: Change, anchors: list[str], config_name:
     spark = files.sparkSession
     layout, errors = read_layout(files, config_name)
     for anchor in anchors:
-        above = [e for e in errors if posixpath.dirname(e) == "" or anchor.startswith(posixpath.dirname(e) + "/")]
-        if above:
-            raise ConfigError(f"{above[0]}: {errors[above[0]]}")
+        broken = [e for e in errors if posixpath.dirname(e) == "" or anchor.startswith(posixpath.dirname(e) + "/")]
+        if broken:
+            raise ConfigError(f"{broken[0]}: {errors[broken[0]]}")
     known = {r["path"] for r in files.select("path").join(spark.createDataFrame([(a,) for a in anchors], "path string"), "path", "left_semi").collect()}
     if missing := [a for a in anchors if a not in known]:
         raise ValueError(f"no such anchor: {', '.join(missing)}")
@@ -208,7 +205,7 @@ def prepared(files: DataFrame, change: Change, anchors: list[str], config_name:
 
 
 def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None) -> DataFrame:
-    """(anchor, affected, direction, changed, path) for each anchor; files: (path, content).
+    """(anchor, affected, direction, changed, path, unresolved) for each anchor; files: (path, content).
 
     ``earlier`` has texts of configuration files before the change, as far as they are known.
     Anchors whose bundlers differ are searched on edge tables of their own.
@@ -217,10 +214,12 @@ def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: s
     out = None
     for bundler, own in p.groups.items():
         _, moved, edges, packages = p.for_bundler(bundler)
+        resolved = edges
         marks = p.changed.select("path").unionByName(moved.select("path")).unionByName(packages).distinct()
         rank = F.dense_rank().over(matching.Window.partitionBy("path").orderBy("ord", "target"))
         edges = cut(edges.select(F.col("path").alias("src"), F.col("target").alias("dst"), rank.cast("long").alias("ord")))
-        found = answers(edges, own, cut(marks.select(F.col("path").alias("node"))), p.changed)
+        found, seen = answers(edges, own, cut(marks.select(F.col("path").alias("node"))), p.changed)
+        found = with_unresolved(found, seen, unresolved(p, resolved))
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -239,24 +238,116 @@ def _governed(requests: DataFrame, layout: Layout, unread: set[str]) -> DataFram
     return requests.where(is_source(F.col("path"))).select("path").distinct().mapInArrow(run, "path string")
 
 
-def answers(edges: DataFrame, anchors: list[str], marks: DataFrame, changed: DataFrame) -> DataFrame:
-    """Downstream for every anchor; upstream from changed files for those that nothing reached."""
+def opened(visited: DataFrame, hits: DataFrame) -> DataFrame:
+    """Visited nodes that were taken from the queue before the hit, so that their edges were read."""
+    return visited.join(hits.select("anchor", F.col("at").alias("hit")), "anchor", "left").where("hit is null or at < hit")
+
+
+def answers(edges: DataFrame, anchors: list[str], marks: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Downstream for every anchor; upstream from changed files for those that nothing reached.
+
+    Also (anchor, path) of the files whose imports each anchor's searches have asked for.
+    """
     spark = edges.sparkSession
     starts = spark.createDataFrame([(a, a, 0) for a in anchors], "anchor string, node string, pos long")
     visited, hits = closure.search(edges, starts, marks)
     down = closure.witness(visited, hits).select("anchor", F.lit("downstream").alias("direction"), "path")
+    seen = opened(visited, hits).select("anchor", F.col("node").alias("path"))
     left = cut(starts.select("anchor").join(hits, "anchor", "left_anti"))
     roots = changed.select(F.col("path").alias("anchor"), F.col("path").alias("node"), F.lit(0).cast("long").alias("pos"))
     if not left.isEmpty() and not roots.isEmpty():
         reached, _ = closure.search(edges, roots, spark.createDataFrame([], "node string"), complete=True)
-        reached = cut(reached)
-        met = reached.select(F.col("anchor").alias("root"), F.col("node").alias("anchor"), "at").join(left, "anchor")
-        first = cut(met.groupBy("anchor").agg(F.min_by(F.struct("root", "at"), "root").alias("m")).select("anchor", "m.root", "m.at"))
+        reached = cut(reached.withColumnRenamed("anchor", "root"))
+        met = reached.select("root", F.col("node").alias("anchor"), "at").join(left, "anchor")
+        first = cut(met.groupBy("anchor").agg(F.min(F.struct("root", "at")).alias("m")).select("anchor", "m.root", "m.at"))
+        # roots are tried in order: what those up to the first that arrives have opened, counts
+        tried = left.join(first, "anchor", "left").join(reached.select(F.col("root").alias("r"), F.col("node").alias("path"), F.col("at").alias("place")), F.expr("root is null or r < root or r = root and place < at"))
+        seen = seen.unionByName(tried.select("anchor", "path"))
         if not first.isEmpty():
-            walks = closure.witness(reached.withColumn("anchor", F.col("anchor")), first.select(F.col("root").alias("anchor"), F.col("anchor").alias("node"), "at"))
-            up = walks.select(F.element_at("path", -1).alias("anchor"), F.lit("upstream").alias("direction"), "path").distinct()
-            down = down.unionByName(up)
+            walks = closure.witness(reached.withColumnRenamed("root", "anchor"), first.select(F.col("root").alias("anchor"), F.col("anchor").alias("node"), "at"))
+            down = down.unionByName(walks.select(F.element_at("path", -1).alias("anchor"), F.lit("upstream").alias("direction"), "path").distinct())
     found = cut(down)
     shown = F.transform("path", lambda p: F.concat(F.lit("File("), p, F.lit(")")))
     end = F.when(F.col("direction") == "downstream", F.element_at("path", -1)).otherwise(F.element_at("path", 1))
-    return starts.select("anchor").join(found, "anchor", "left").select("anchor", F.col("direction").isNotNull().alias("affected"), "direction", end.alias("changed"), shown.alias("path"))
+    told = starts.select("anchor").join(found, "anchor", "left").select("anchor", F.col("direction").isNotNull().alias("affected"), "direction", end.alias("changed"), shown.alias("path"))
+    return told, cut(seen.distinct())
+
+
+# Modules of Node and of Sass, which name no file; kinds from the nearest to the least.
+BUILTINS = frozenset(
+    "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path "
+    "perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+)
+KINDS = ("path", "alias", "package", "missing-package", "installed")
+IN_REPO = 3
+LEAVES = "json|png|jpg|jpeg|gif|webp|avif|ico|bmp|svg|woff|woff2|ttf|otf|eot|mp3|mp4|webm|wav|ogg|txt"
+
+
+def unresolved(p: Prepared, resolved: DataFrame) -> DataFrame:
+    """(path, specifier, kind number) of what names nothing and should.
+
+    The name of a package, of a stylesheet's neighbour, of an alias: the first rule that holds
+    decides. Modules of Node and Sass, packages of types alone and missing leaves are no gaps.
+    """
+    layout = p.layout
+    sent = p.files.sparkSession.sparkContext.broadcast(layout)
+    missing = p.requests.select("path", "specifier").join(resolved.select("path", "specifier").distinct(), ["path", "specifier"], "left_anti")
+    bare = F.element_at(F.split("specifier", "!"), -1)
+    missing = missing.where(~bare.rlike(rf"^\.\.?/.*\.({LEAVES})$") & ~bare.rlike("^(node|sass|https?|data):") & ~bare.startswith("//"))
+    missing = missing.withColumn("name", F.regexp_extract(F.ltrim(bare, F.lit("~")), r"^(@[^/]+/[^/]+|[^@./#][^/]*)", 1))
+    # is the package there, in a directory above?
+    dirs = p.files.select(F.regexp_extract("path", r"^((?:.*/)?node_modules/(?:@[^/]+/[^/]+|[^@/][^/]*))/", 1).alias("home")).where("home <> ''").distinct()
+    up = missing.where("name <> ''").select("path", "specifier", F.explode(folds.ancestors(F.col("path"))).alias("dir"), "name")
+    home = F.concat(F.col("dir"), F.when(F.col("dir") == "", "").otherwise("/"), F.lit("node_modules/"), F.col("name"))
+    there = up.withColumn("home", home).join(dirs, "home", "left_semi").select("path", "specifier", F.lit(True).alias("there")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resolver = Resolver(sent.value)
+        own = {d.get("name") for d in sent.value.packages.values()}
+        for batch in batches:
+            out = []
+            for path, specifier, name, there_ in zip(*(batch.column(c).to_pylist() for c in ("path", "specifier", "name", "there")), strict=True):
+                kind = _kind(resolver, path, specifier.rpartition("!")[2], name, bool(there_), own)
+                if kind is not None:
+                    out.append((path, specifier, kind))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int32()))], ["path", "specifier", "kind"])
+
+    return missing.join(there, ["path", "specifier"], "left").mapInArrow(run, "path string, specifier string, kind int")
+
+
+def _kind(resolver: Resolver, path: str, specifier: str, name: str, there: bool, own: set) -> int | None:
+    layout, here = resolver.layout, posixpath.dirname(path)
+    style = path.rpartition(".")[2] in STYLES
+    if not style and name in BUILTINS:
+        return None
+    homes = [layout.packages.get(joined(d, "node_modules/" + name)) for d in above(here)] if name else []
+    if not style and any(h and (h.get("types") or h.get("typings")) and not any(h.get(k) for k in ("main", "module", "exports")) for h in homes):
+        return None
+    if "node_modules" in path.split("/"):
+        return 4
+    if specifier[:1] in (".", "/"):
+        return 0
+    if specifier[:1] == "#":
+        return 1
+    chain = layout.chain(here)
+    if style and not specifier.startswith("~") and not any(next(alias_targets(chain, specifier, t), None) for t in ("aliases", "style_aliases")):
+        return 0
+    specifier = specifier.removeprefix("~") if style else specifier
+    if any(next(alias_targets(chain, specifier, t), None) for t in ("aliases", "style_aliases")):
+        return 1
+    if there or name in own:
+        return 2
+    project = layout.project_for(path)
+    if project and next(resolver.project_paths(project, specifier), None):
+        return 1
+    return 3
+
+
+def with_unresolved(found: DataFrame, seen: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Answers with what the files that each anchor visited could not place, by specifier; a
+    specifier's kind is the nearest of its writers'."""
+    rows = seen.join(gaps, "path").groupBy("anchor", "specifier").agg(F.min("kind").alias("k"), F.sort_array(F.collect_set("path")).alias("from"))
+    label = F.element_at(F.array(*map(F.lit, KINDS)), F.col("k") + 1)
+    rows = rows.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("specifier", label.alias("kind"), (F.col("k") < IN_REPO).alias("in_repo"), "from"))).alias("unresolved"))
+    none = F.array().cast("array<struct<specifier:string,kind:string,in_repo:boolean,from:array<string>>>")
+    return found.join(rows, "anchor", "left").withColumn("unresolved", F.coalesce("unresolved", none))

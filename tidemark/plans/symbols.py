@@ -310,6 +310,15 @@ def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph:
     return out.unionByName(readers).unionByName(again).unionByName(stars).unionByName(rest).unionByName(src.select(node("ModuleInit", "path").alias("node"))).distinct()
 
 
+def _seen(seen: DataFrame, more: DataFrame, file_edges: DataFrame, left: list[str], changed: DataFrame) -> DataFrame:
+    """What the symbol search visited and, for anchors it did not answer, what the changed files'
+    own searches visited; a file search downstream from the anchor was never made."""
+    spark = seen.sparkSession
+    own, _ = closure.search(file_edges, spark.createDataFrame([(a, a, 0) for a in left], "anchor string, node string, pos long"), spark.createDataFrame([], "node string"), complete=True)
+    only_up = more.join(own.select("anchor", F.col("node").alias("path")), ["anchor", "path"], "left_anti")
+    return seen.unionByName(only_up).distinct()
+
+
 def analyse_symbols(files: DataFrame, change: files_plan.Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None) -> DataFrame:
     """As files_plan.analyse, over symbols; upstream stays over files."""
     spark = files.sparkSession
@@ -338,9 +347,12 @@ def analyse_symbols(files: DataFrame, change: files_plan.Change, anchors: list[s
         left = [r["anchor"] for r in starts.select("anchor").join(down, "anchor", "left_anti").collect()]
         rank = F.dense_rank().over(Window.partitionBy("path").orderBy("ord", "target"))
         file_edges = cut(edges.select(F.col("path").alias("src"), F.col("target").alias("dst"), rank.cast("long").alias("ord")))
+        seen = visited.select("anchor", F.regexp_extract("node", r"^\w+\(([^,)]*)", 1).alias("path")).distinct()
         found = down
         if left:
-            found = found.unionByName(files_plan.answers(file_edges, left, spark.createDataFrame([], "node string"), p.changed))
+            others, more = files_plan.answers(file_edges, left, spark.createDataFrame([], "node string"), p.changed)
+            found, seen = found.unionByName(others), _seen(seen, more, file_edges, left, p.changed)
+        found = files_plan.with_unresolved(found, seen, files_plan.unresolved(p, edges))
         out = found if out is None else out.unionByName(found)
     return out
 
