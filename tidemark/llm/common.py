@@ -10,15 +10,16 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shared import cut
+
+__all__ = ["BLANKS", "NULL_ID", "add_columns", "cut", "held_out", "id_back", "keep_rows", "known_id", "map_slices", "table", "without"]
+
 #: Python works on slices of a batch of at most so many rows, so that few texts are unpacked at once.
 SLICE = 256
 #: What identifies the rows whose id is null; no 63-bit identifier reaches it.
@@ -31,28 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is the cluster's setting; a folder of our
-    own stands in only where none is set, as in local tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "tidemark-shared")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again.
-
-    It cuts the lineage and survives lost executors; later passes read the columns they need
-    instead of computing everything again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_slices(df: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Run ``work`` over slices of rows: columns as lists in, columns as lists out."""
     from pyspark.sql.pandas.types import to_arrow_schema
