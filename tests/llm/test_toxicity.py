@@ -101,3 +101,5 @@ def test_without_labels(spark, folder):
         model = T.train(docs, some)
         assert T.scored(docs, model, ["doc_id"]).where("toxicity between 0 and 1").count() == docs.count()
     assert T.scored(docs.limit(0), model, ["doc_id"]).count() == 0
+    # the last model saw toxic labels only; texts without a hit still stay
+    assert T.without_toxic(docs.where("doc_id in (2000, 2001)"), model).count() == 2

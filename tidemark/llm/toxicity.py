@@ -11,7 +11,8 @@ Words that clean training texts use are no misspellings, however near they are.
 A hit counts less where its window quotes or reports it and more where it addresses someone.
 The features of a document go through a logistic regression.
 
-Nulls and empty texts have no hits and get the score of a text without any. At most
+Nulls and empty texts have no hits and get the score of a text without any, which is never 0.5
+or more. At most
 ``MAX_LABELLED`` labelled rows are used, ``MAX_TERMS`` terms are kept.
 """
 
@@ -41,6 +42,8 @@ WINDOW = 6
 QUOTES = "\"'`“”„«»‘’‹›"
 REPORTS = frozenset("said says say wrote writes quote quoted quotes called term word words phrase reported reportedly alleged dit dits cite mot sagte sagt schrieb zitat wort dijo dice escribió cita palabra".split())
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted vos".split())
+#: A text without any hit scores so much at most, whatever share of the labels is toxic.
+NO_HIT = 0.49
 #: Words that one task remembers; states of the automaton before it starts anew.
 REMEMBERED, MAX_STATES = 150_000, 20_000
 
@@ -210,7 +213,9 @@ class Model:
     def score(self, rows: list[list[float]]) -> np.ndarray:
         if not rows:
             return np.zeros(0)
-        return sigmoid(self.scale(np.array(rows)) @ self.weights[:-1] + self.weights[-1])
+        x = np.array(rows)
+        found = sigmoid(self.scale(x) @ self.weights[:-1] + self.weights[-1])
+        return np.where(x.any(axis=1), found, np.minimum(found, NO_HIT))
 
 
 def _terms(tokens: list[str]) -> set[tuple[str, str, str]]:
