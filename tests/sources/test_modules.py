@@ -47,11 +47,19 @@ def test_writers():
     assert "inc" in f["refs"]["get"]
 
 
-@pytest.mark.parametrize("text", ["const a = require(x)", "module.exports = { a }", "eval('1')", "const a = (1", "namespace N { }", "@dec class A {}", "export = a", "import(x)", "export { missing }"])
+@pytest.mark.parametrize("text", ["const a = require(x)", "module.exports = make()", "exports.a = 1; use(exports)", "exports.a = 1; exports.a = 2", "import x from 'y'; exports.a = x", "eval('1')", "const a = (1", "namespace N { }", "@dec class A {}", "export = a", "import(x)", "export { missing }"])
 def test_what_stays_one_unit(text):
     assert read_module(text) is None
 
 
+def test_commonjs_tables():
+    f = facts("'use strict'\nObject.defineProperty(exports, '__esModule', { value: true })\nexports.a = exports.b = void 0\nconst h = () => 1\nexports.a = () => h()\nmodule.exports.b = make(h)\n")
+    assert f["exports"] == [("a", "local", "exports.a", None), ("b", "local", "exports.b", None)] and f["runs"] == ["exports.b"]
+    assert f["refs"] == {"exports.a": ["h"], "exports.b": ["h"]}
+    f = facts("const x = 1\nfunction y() { return x }\nmodule.exports = { x, y, z: () => y(), w() { return x } }\n")
+    assert [e[0] for e in f["exports"]] == ["x", "y", "z", "w"] and f["refs"]["exports.z"] == ["y"] and f["refs"]["exports.x"] == ["x"] and f["runs"] == []
+
+
 def test_jsx_text_hides_nothing():
     f = facts("const a = 1\nconst b = () => 2\nexport const P = () => <p>Don't {a} isn't</p>;\nexport const Q = () => <B x={b} /> || </B>;\n")
     assert "a" in f["refs"]["P"] and "b" in f["refs"]["Q"]

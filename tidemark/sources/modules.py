@@ -2,8 +2,9 @@
 
 A file is cut into tokens and top-level statements. Names are matched by spelling: an identifier
 counts as a use of the declaration or import of that name, even where a parameter hides it, so
-uses are never missed. A file whose shape cannot be told (unbalanced brackets, computed imports,
-CommonJS exports, ``eval``, namespaces, decorators) gives None: it is one opaque unit.
+uses are never missed. CommonJS exports count where they are plain assignments. A file whose shape cannot be
+told (unbalanced brackets, computed imports, other uses of the exports object, ``eval``,
+namespaces, decorators) gives None: it is one opaque unit.
 """
 
 from __future__ import annotations
@@ -188,6 +189,8 @@ class _Reader:
         self.import_statements: list[tuple[int, int, list[str]]] = []
         self.pending: list[tuple[str, str, int, int]] = []
         self.bodies: list[tuple[int | None, list[Token]]] = []
+        self.mentions = 0
+        self.assigned_exports: list[tuple[str, str, int, str | None, int, int]] = []
 
     def source(self, spec: str) -> int:
         if spec not in self.m.sources:
@@ -197,11 +200,18 @@ class _Reader:
     def read(self) -> Module:
         toks = tokens(self.text)
         words = {t.text for t in toks if t.kind == "name"}
-        if words & {"eval", "with"} or any(t.text == "@" for t in toks) or re.search(r"\bmodule\.exports\b|(?<![\w.$])exports\s*[.\[]|\b__esModule\b", self.text):
+        if words & {"eval", "with"} or any(t.text == "@" for t in toks):
             raise Opaque("shape")
         self.toks = toks
         for s in statements(toks):
             self.statement(s)
+        # every mention of the exports object has to be one of the plain assignments
+        mentions = sum(t.kind == "name" and t.text in ("exports", "module") for t in toks)
+        if mentions != self.mentions or mentions and (self.m.exports or self.pending or self.m.stars or self.import_statements):
+            raise Opaque("exports")
+        self.m.exports += self.assigned_exports
+        if len({e[0] for e in self.assigned_exports}) < len(self.assigned_exports):
+            raise Opaque("exports")
         for name, local, a, b in self.pending:
             if local in self.named:
                 self.m.exports.append((name, "local", self.named[local], None, a, b))
@@ -231,9 +241,53 @@ class _Reader:
             self.declared(s, w)
         elif w[0] in ("namespace", "module", "global") and len(w) > 2 and w[2] == "{":
             raise Opaque("namespace")
-        else:
+        elif not self.commonjs(s, w):
             self.bodies.append((None, s))
 
+    def commonjs(self, s: list[Token], w: list[str]) -> bool:
+        """``exports.a = exports.b = value``, ``module.exports = { a, b: value }``, a defined property."""
+        names, i, seen = [], 0, 0
+        while True:
+            if w[i : i + 2] == ["exports", "."] and w[i + 3 : i + 4] == ["="]:
+                names.append(w[i + 2])
+                i, seen = i + 4, seen + 1
+            elif w[i : i + 4] == ["module", ".", "exports", "."] and w[i + 5 : i + 6] == ["="]:
+                names.append(w[i + 4])
+                i, seen = i + 6, seen + 2
+            else:
+                break
+        if names:
+            self.mentions += seen
+            if w[i:] != ["void", "0"]:
+                self.assigned_export(names, s, s[i:])
+            return True
+        if w[:5] == ["module", ".", "exports", "=", "{"] and s[-1].text == "}" and s[-1].depth == s[4].depth:
+            self.mentions += 2
+            part: list[Token] = []
+            for t in s[5:]:
+                if t.text == "," and t.depth == s[4].depth + 1 or t is s[-1]:
+                    if part:
+                        if part[0].text in ("...", "[", "get", "set") and part[1:2] and part[1].text not in (":", "("):
+                            raise Opaque("exports")
+                        name = part[0].text.strip("'\"")
+                        self.assigned_export([name], part, part[2:] if part[1:2] and part[1].text == ":" else part)
+                    part = []
+                else:
+                    part.append(t)
+            return True
+        if w[:5] == ["Object", ".", "defineProperty", "(", "exports"] and len(s) > 7 and s[6].kind == "string":
+            self.mentions += 1
+            if _text(s[6]) != "__esModule":
+                self.assigned_export([_text(s[6])], s, s[8:-1])
+            return True
+        return False
+
+    def assigned_export(self, names: list[str], s: list[Token], value: list[Token]) -> None:
+        method = len(value) > 1 and value[0].kind == "name" and value[1].text == "(" and value[-1].text == "}"
+        d = self.add([f"exports.{n}" for n in names], s, not method and self.expression_runs(value))
+        self.bodies.append((d, value))
+        self.assigned_exports += [(n, "local", d, None, s[0].start, s[-1].end) for n in names]
+
     def imports(self, s: list[Token], w: list[str]) -> None:
         if s[-1].kind != "string" and "from" not in w and s[1].kind != "string":
             raise Opaque("import")
@@ -479,7 +533,7 @@ class _Reader:
                 continue
             if nxt == ":" and last in ("{", ",") and t.depth > body[0].depth:
                 continue  # a key
-            if own is not None and t.text in own.names and i == 0:
+            if own is not None and t.text in own.names and i == 0 and not own.names[0].startswith("exports."):
                 continue
             member = body[i + 2].text if nxt in (".", "?.") and i + 2 < len(body) and body[i + 2].kind == "name" else None
             self.use(t.text, member, refs, imports)
