@@ -74,6 +74,22 @@ def test_stages(spark, folder):
     assert sorted(r["doc_id"] for r in run.collect()) == sorted(got)
 
 
+def test_null_and_repeated_ids(spark, folder, tmp_path):
+    _, bench = folder
+    prose = lambda n: " ".join(test_decontaminate.prose(n))
+    copy, other, leak, twice = prose(40), prose(40), "intro " + bench[0][1] + " outro", prose(40)
+    rows = [(1, copy), (None, copy), (None, prose(40)), (None, prose(30)), (2, other), (2, copy), (2, prose(40)), (None, None), (None, "")]
+    rows += [(None, twice), (None, twice), (None, leak), (3, leak + " more"), (3, prose(50)), (9, other), (8, twice + " z")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, row int").repartition(3)
+    near = stages.drop_near_duplicates(spark, docs, folder[0])
+    left = [r["row"] for r in near.collect()]
+    assert near.columns == docs.columns and sorted(left) == [0, 2, 3, 4, 6, 7, 8, 12, 13, 15]
+    exact = stages.drop_near_duplicates(spark, docs.where("row in (9, 10, 7, 8)"), folder[0])
+    assert sorted(r["row"] in (9, 10) for r in exact.collect()) == [False, False, True]
+    clean = stages.drop_contaminated(spark, docs, folder[0])
+    assert clean.columns == docs.columns and sorted(r["row"] for r in clean.collect()) == [i for i in range(len(rows)) if i not in (11, 12)]
+
+
 def test_empty(spark, folder, tmp_path):
     at, _ = folder
     for name in ("documents", "labels", "benchmark"):
