@@ -77,6 +77,17 @@ def test_as_brute_force(spark, data):
     assert (101, 13) in seen and (104, 5) in seen
 
 
+def test_shared_template(spark):
+    """Words that many items share count little: a document with an item's own words alone is like it."""
+    template = prose(20)
+    items = [(i, " ".join(prose(30) + template)) for i in range(12)]
+    docs = [(i, " ".join(prose(25) + t.split()[:30] + prose(40))) for i, t in items]
+    want = brute(docs, items)
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) == 12 and {(r["doc_id"], r["item_id"]) for r in got} == set(want)
+    assert all(abs(r["similarity"] - want[r["doc_id"], r["item_id"]]) < 1e-6 for r in got) and max(r["hamming"] for r in got) > D.RADIUS
+
+
 def test_blocks_meet_within_radius(spark):
     prints = [(R.getrandbits(63), R.sample(range(64), D.RADIUS)) for _ in range(50)]
     rows = [(a, (a ^ sum(1 << b for b in bits)) - (1 << 64) * ((a ^ sum(1 << b for b in bits)) >> 63)) for a, bits in prints]

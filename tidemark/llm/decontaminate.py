@@ -12,7 +12,10 @@ if the item's shingles that it holds, counted as often as both hold them, have a
 2. Each different window gets a 64-bit SimHash of its words. The fingerprint is cut into
    ``RADIUS + 1`` blocks; a window and an item (of the window's length) whose fingerprints
    differ in at most ``RADIUS`` bits agree in one block at least, and meet there.
-3. Pairs within the radius are verified exactly on the weighted shingles.
+3. The radius alone is no bound for the similarity: words that many items share weigh next to
+   nothing there, but fully in the fingerprint. So a window also meets the items of its length
+   that it holds an anchor of, whatever their distance.
+4. All these pairs are verified exactly on the weighted shingles.
 
 Windows of equal content are fingerprinted and verified once, however many documents share
 them. All of it is SQL functions: no Python runs on executors. The benchmark is broadcast only
@@ -68,7 +71,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     heaviest = of_item.orderBy(F.desc("weight"), "shingle", "at").rowsBetween(Window.unboundedPreceding, -1)
     # the rest, with this one, still has at least the share that a window needs: so this one is an anchor
     anchors = parts.withColumn("rest", F.sum("weight").over(of_item) - F.coalesce(F.sum("weight").over(heaviest), F.lit(0.0))).withColumn("needed", min_similarity * F.sum("weight").over(of_item))
-    anchors = cut(anchors.where(F.col("rest") >= F.col("needed") - 1e-9).select("shingle", "length", "at").distinct())
+    of_items = cut(anchors.where(F.col("rest") >= F.col("needed") - 1e-9).select("shingle", "length", "at", "item"))
+    anchors = cut(of_items.select("shingle", "length", "at").distinct())
     few = anchors.count() <= BROADCAST_ANCHORS
 
     texts = docs.select(known_id(id_col).alias("doc"), word_hashes(F.col(text_col)).alias("words")).withColumn("shingles", _shingles("words", shingle))
@@ -84,8 +88,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marked = items.withColumn("item_print", simhash("words"))
     left = alike.select("length", "k1", "k2", "print", F.explode(blocks("print", radius)).alias("b")).select("length", "k1", "k2", "print", "b.block", "b.value")
     right = marked.select("item", "length", "item_print", F.explode(blocks("item_print", radius)).alias("b")).select("item", "length", "item_print", "b.block", "b.value")
-    pairs = left.join(right, ["length", "block", "value"]).withColumn("hamming", F.expr("bit_count(print ^ item_print)")).where(F.col("hamming") <= radius)
-    pairs = pairs.select("length", "k1", "k2", "item", "hamming").distinct()
+    hamming = F.expr("bit_count(print ^ item_print)").alias("hamming")
+    near = left.join(right, ["length", "block", "value"]).where(hamming <= radius).select("k1", "k2", "item", hamming)
+    # the same shingle at several places of an item or window is one reason to meet
+    holds = alike.select("length", "k1", "k2", "print", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    sharing = holds.join(of_items.select("shingle", "length", "item").distinct(), ["shingle", "length"]).join(marked.select("item", "item_print"), "item")
+    pairs = near.unionByName(sharing.select("k1", "k2", "item", hamming)).distinct()
 
     told = parts.groupBy("item", "shingle").agg(F.count("*").alias("times"), F.first("weight").alias("weight"))
     whole = told.groupBy("item").agg(F.sum(F.col("times") * F.col("weight")).alias("whole"))
