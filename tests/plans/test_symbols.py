@@ -67,3 +67,15 @@ def test_golden_cases_are_never_missed(spark, monkeypatch):
     missed = [k for k, w in want.items() if w[0] and not got[k]["affected"]]
     same = [k for k, w in want.items() if (got[k]["affected"], got[k]["direction"], got[k]["path"]) == w]
     assert len(missed) <= 1 and len(same) >= 175, (missed, len(same))
+
+
+def test_paths_of_any_signs(spark):
+    """A changed file marks what it declares, however its path is written."""
+    folders = ["app/shop", "app/(shop)", "app/a, b", "app/x) (y, z"]
+    tree = {f"{d}/lib.ts": "const n = 1;\nexport const used = () => n;\n" for d in folders} | {f"{d}/Page.tsx": 'import { used } from "./lib";\nexport const Page = () => used();\n' for d in folders}
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in tree.items()], "path string, content binary")
+    got = {r["anchor"]: r for r in analyse_symbols(df, Change.read(named=[f"{d}/lib.ts" for d in folders]), [f"{d}/Page.tsx" for d in folders]).collect()}
+    for d in folders:
+        r = got[f"{d}/Page.tsx"]
+        assert r["affected"] and r["changed"] == f"{d}/lib.ts"
+        assert r["path"] == [f"File({d}/Page.tsx)", f"Decl({d}/Page.tsx, Page)", f"Export({d}/lib.ts, used)"]

@@ -96,9 +96,19 @@ def module_facts(files: DataFrame, runs: DataFrame, include_types: bool, layout)
     return source.join(runs, "path", "left").select("path", "content", "runs").mapInArrow(run, FACTS)
 
 
-def node(kind: str, *parts: Column | str) -> Column:
-    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.concat(F.lit(kind + "("), F.concat_ws(", ", *cols), F.lit(")"))
+def node(kind: str, path: Column | str, name: Column | str | None = None) -> Column:
+    """``Kind(path)`` or ``Kind(path, name)``. A path may hold anything; a name never holds a
+    comma and a blank, so that the last of these ends the path."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    parts = [column(path)] if name is None else [column(path), F.lit(", "), F.replace(column(name), F.lit(", "), F.lit(","))]
+    return F.concat(F.lit(kind + "("), *parts, F.lit(")"))
+
+
+def path_of(node_: Column | str) -> Column:
+    """The path of a node, whatever signs it is written with."""
+    n = F.col(node_) if isinstance(node_, str) else node_
+    alone = F.regexp_extract(n, r"(?s)^(?:File|ModuleInit)\((.*)\)$", 1)
+    return F.when(n.rlike(r"(?s)^(?:File|ModuleInit)\("), alone).otherwise(F.regexp_extract(n, r"(?s)^\w+\((.*), .*?\)$", 1))
 
 
 def quiet_packages(layout) -> list[tuple[str, list[str] | None]]:
@@ -338,16 +348,15 @@ def analyse_symbols(files: DataFrame, change: files_plan.Change, anchors: list[s
         marks = cut(marks.distinct())
         # a marked file marks its nodes
         nodes = symbol_edges.select(F.col("src").alias("node")).unionByName(symbol_edges.select(F.col("dst").alias("node"))).distinct()
-        home = F.regexp_extract("node", r"^\w+\(([^,)]*)", 1)
-        umbrella = nodes.withColumn("home", F.concat(F.lit("File("), home, F.lit(")"))).join(marks.select(F.col("node").alias("home")), "home", "left_semi").select("node")
+        umbrella = nodes.withColumn("home", node("File", path_of("node"))).join(marks.select(F.col("node").alias("home")), "home", "left_semi").select("node")
         marks = cut(marks.unionByName(umbrella).distinct())
         starts = spark.createDataFrame([(a, f"File({a})", 0) for a in own], "anchor string, node string, pos long")
         visited, hits = closure.search(symbol_edges, starts, marks)
-        down = cut(closure.witness(visited, hits).select("anchor", F.lit(True).alias("affected"), F.lit("downstream").alias("direction"), F.regexp_extract(F.element_at("path", -1), r"^\w+\(([^,)]*)", 1).alias("changed"), "path"))
+        down = cut(closure.witness(visited, hits).select("anchor", F.lit(True).alias("affected"), F.lit("downstream").alias("direction"), path_of(F.element_at("path", -1)).alias("changed"), "path"))
         left = [r["anchor"] for r in starts.select("anchor").join(down, "anchor", "left_anti").collect()]
         rank = F.dense_rank().over(Window.partitionBy("path").orderBy("ord", "target"))
         file_edges = cut(edges.select(F.col("path").alias("src"), F.col("target").alias("dst"), rank.cast("long").alias("ord")))
-        seen = visited.select("anchor", F.regexp_extract("node", r"^\w+\(([^,)]*)", 1).alias("path")).distinct()
+        seen = visited.select("anchor", path_of("node").alias("path")).distinct()
         found = down
         if left:
             others, more = files_plan.answers(file_edges, left, spark.createDataFrame([], "node string"), p.changed)

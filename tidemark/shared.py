@@ -10,17 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a folder of our own serves if driver and executors are one machine (tests,
+    a local run); on a cluster that is an error, since its machines share no temporary folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = os.path.join(tempfile.gettempdir(), "tidemark-shared")
         spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def _home(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables; it goes when the application ends."""
+    at = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
     return at
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application now, for sessions that live long:
+    results that were not written elsewhere can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: the lineage ends there, and lost
     executors take nothing with them."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
