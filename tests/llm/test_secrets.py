@@ -1,6 +1,10 @@
+import functools
 import hashlib
 import itertools
+import math
+import random
 import re
+import time
 
 from tidemark.llm import secrets as S
 
@@ -40,6 +44,76 @@ def test_guess_bits_is_a_minimum():
         assert S.guess_bits(a + b) <= S.guess_bits(a) + S.guess_bits(b) + S.JOINT + 8 * 3.1  # the alphabet may grow
 
 
+def cheapest(value, guesser):
+    """The guess cost by trying all cuts, each span priced on its own."""
+    low, plain = value.lower(), value.lower().translate(S.LEET)
+    kinds = (any(c.isdigit() for c in value), any(c.isupper() for c in value), any(c.isalpha() and not c.isupper() for c in value), any(not c.isalnum() for c in value))
+    mixed = math.log2(max(2, sum(n * k for n, k in zip((10, 26, 26, 33), kinds, strict=True))))
+
+    def prices(i, j, joint):
+        word, n = value[i:j], j - i
+        if n == 1:
+            yield min(mixed, S._alphabet_bits(word) + joint)
+        if n >= 3:
+            for form, more in ((low, 0), (plain, 2)):
+                if (rank := guesser.ranks.get(form[i:j])) and (more == 0 or low[i:j] not in guesser.ranks):
+                    upper = sum(c.isupper() for c in word)
+                    yield joint + math.log2(rank + 1) + more + (0 if not upper else 1 if word.isupper() or upper == 1 and word[0].isupper() else upper + 1)
+            if all(S._walks(a, b) for a, b in itertools.pairwise(low[i:j])):
+                yield joint + math.log2(188) + math.log2(n)
+        for unit in (1, 2, 3, 4):
+            if n % unit == 0 and n > unit and word == word[:unit] * (n // unit):
+                yield joint + unit * mixed + math.log2(n // unit)
+        if (m := S.DATE.match(value, i)) and m.end() == j and n >= 4:
+            yield joint + math.log2(120 if n == 4 else 366 * 120) + 1
+
+    @functools.cache
+    def cost(j):
+        return 0.0 if j == 0 else min(cost(i) + p for i in range(max(0, j - S.MAX_SPAN), j) for p in prices(i, j, S.JOINT if i else 0.0))
+
+    return cost(len(value))
+
+
+def test_guess_bits_as_brute_force():
+    r, guesser = random.Random(4), S.Guesser({"zebra": 900, "everything": 40, "obtain": 7})
+    parts = ["password", "P4ssw0rd", "everything", "ZEBRA", "obtain", "20211231", "1999", "31/12/2021", "qwerty", "asdf", "abcdefg", "987", "aaaa", "xyxyxy", "abcabcabc", "x", "K", "!", "7", "é", "Q9$"]
+    for _ in range(400):
+        value = "".join(r.choice(parts) for _ in range(r.randint(1, 6)))
+        assert abs(guesser.bits(value) - cheapest(value, guesser)) < 1e-9, value
+        for enough in (20.0, 40.0):
+            assert (guesser.bits(value, enough) >= enough) == (cheapest(value, guesser) >= enough)
+
+
+def test_long_values():
+    """A value of 100,000 characters takes no longer than its first hundreds; offsets grow in line."""
+    began = time.time()
+    r = random.Random(6)
+    for unit in ("a", "ab", "qwertyuiop", "password", "é", "".join(r.choice("abcdefXYZ019") for _ in range(50))):
+        value = (unit * 100_000)[:100_000]
+        assert S.secret_spans("token is " + value + " é")[-1][1:] == (9, 100_009)
+    dense = "é token is xK9#mQ2vL and " * 4000
+    assert len(S.secret_spans(dense)) == 4000
+    assert time.time() - began < 20
+
+
+#: Values that only the guess cost finds: no base pattern meets them.
+PLANTED = ["password is xkqjzvbnwptrhg", "passcode: wqzkfhxmv", "Bearer HXKQPZWVNTRJ", "the secret was gT5$wq!Zx8", "pwd => k3J8d0Qs1"]
+
+
+def test_planted_credentials(spark):
+    """Found in texts whose words are cheap, though the words of the corpus are as long; copies of a
+    document make no word of its secret, and ordinary words in the same contexts are left alone."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(6, 12))) for _ in range(120)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [prose(200) for _ in range(20)] + [f"{prose(20)} password is {w} and token was {w}, {prose(5)}" for w in words[:40]]
+    rows += [f"{prose(10)} {x} {prose(10)}" for x in PLANTED] * 6 + [None, ""]
+    got = S.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()
+    assert {g["kind"] for g in got} == {"credential"}
+    assert sorted((g["id"], g["value"]) for g in got) == [(60 + i, PLANTED[i % 5].split()[-1]) for i in range(30)]
+    assert S.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_op9(spark, docs_dir, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for r in S.op9_secrets(spark, str(tmp_path)).collect():
