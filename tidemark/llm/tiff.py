@@ -4,7 +4,9 @@
 same family of files; ``op3`` uses both to store texts as 8-bit samples and read them back.
 
 A null or empty file has no pages and gives no row; a file that is damaged gives the pages
-before the damage and one row whose ``error`` names it. Directory loops end the walk.
+before the damage and one row whose ``error`` names it. Directory loops end the walk. Nothing is
+allocated on a file's word alone: an image is as large as its blocks can unpack to at most, and
+a block is unpacked no further than it is needed.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FO
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", OLD_DEFLATE: "deflate", PACKBITS: "packbits"}
+#: Bytes that one packed byte unpacks to at most: runs of 128 in two bytes, deflate's 258 in two
+#: bits, and LZW's strings of up to 3838 in 12 bits.
+MOST = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 2560}
+#: A page's blocks may name the same bytes, up to so many times the file in all.
+SHARED = 16
+WHOLE_NUMBERS = frozenset("BHIQ")
 
 
 class Damaged(ValueError):
@@ -45,17 +53,19 @@ class Page:
     pixels: bytes = field(repr=False)
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, at, end = [], 0, len(data)
-    while at < end:
+def unpack_bits(data: bytes, need: int | None = None) -> bytes:
+    out, at, end, made = [], 0, len(data), 0
+    while at < end and (need is None or made < need):
         n = data[at]
         at += 1
         if n < 128:
             out.append(data[at : at + n + 1])
             at += n + 1
+            made += n + 1
         elif n > 128:
             out.append(data[at : at + 1] * (257 - n))
             at += 1
+            made += 257 - n
     return b"".join(out)
 
 
@@ -78,13 +88,13 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, need: int | None = None) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first, widths grow one code early."""
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     known, out, was = list(first), [], b""
-    bits = held = at = 0
+    bits = held = at = made = 0
     width = 9
-    while True:
+    while need is None or made < need:
         while held < width:
             if at >= len(data):
                 return b"".join(out)
@@ -105,11 +115,13 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise Damaged(f"LZW code {code} of {len(known)}")
         out.append(entry)
-        if was:
+        made += len(entry)
+        if was and len(known) < 4096:
             known.append(was + entry[:1])
         was = entry
         if len(known) + 1 >= 1 << width and width < 12:
             width += 1
+    return b"".join(out)
 
 
 def pack_lzw(data: bytes) -> bytes:
@@ -152,19 +164,18 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def _unpacked(data: bytes, compression: int) -> bytes:
+def _unpacked(data: bytes, compression: int, need: int) -> bytes:
+    """At least ``need`` bytes, if the block has them."""
     if compression == NONE:
         return data
     if compression == PACKBITS:
-        return unpack_bits(data)
+        return unpack_bits(data, need)
     if compression == LZW:
-        return unpack_lzw(data)
-    if compression in (DEFLATE, OLD_DEFLATE):
-        try:
-            return zlib.decompress(data)
-        except zlib.error as e:
-            raise Damaged(str(e)) from e
-    raise Damaged(f"compression {compression}")
+        return unpack_lzw(data, need)
+    try:
+        return zlib.decompressobj().decompress(data, need)
+    except zlib.error as e:
+        raise Damaged(str(e)) from e
 
 
 def _summed(block: bytes, rows: int, columns: int, samples: int, bits: int, order: str, predictor: int) -> np.ndarray:
@@ -179,13 +190,13 @@ def _summed(block: bytes, rows: int, columns: int, samples: int, bits: int, orde
     return np.cumsum(grid, axis=1, dtype=grid.dtype) if predictor == 2 else grid
 
 
-def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list], int]:
+def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[str, list]], int]:
     try:
         (n,) = struct.unpack_from(f"{order}H", data, at)
-        tags: dict[int, list] = {}
+        tags: dict[int, tuple[str, list]] = {}
         for i in range(n):
             tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
-            if kind in (5, 10) or kind not in TYPES:
+            if kind not in TYPES:
                 continue
             size = struct.calcsize(TYPES[kind]) * count
             where = at + 10 + 12 * i
@@ -193,49 +204,67 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list], int]:
                 (where,) = struct.unpack_from(f"{order}I", data, where)
             if where + size > len(data):
                 raise Damaged(f"tag {tag} lies outside the file")
-            tags[tag] = list(struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where))
+            tags[tag] = TYPES[kind], list(struct.unpack_from(f"{order}{count}{TYPES[kind]}", data, where))
         return tags, struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
     except struct.error as e:
         raise Damaged(f"directory at {at}: {e}") from e
 
 
-def _page(data: bytes, tags: dict[int, list], order: str) -> Page:
-    one = lambda tag, default: tags.get(tag, [default])[0]
+def _numbers(tags: dict[int, tuple[str, list]], tag: int, default: list[int]) -> list[int]:
+    """The whole numbers of a tag: signed, real or textual values, or none at all, are damage."""
+    kind, values = tags.get(tag, ("I", default))
+    if kind not in WHOLE_NUMBERS or not values and tag in tags:
+        raise Damaged(f"tag {tag} has no whole numbers")
+    return values
+
+
+def _page(data: bytes, tags: dict[int, tuple[str, list]], order: str) -> Page:
+    one = lambda tag, default: _numbers(tags, tag, [default])[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     compression, predictor, planes = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
-    if not width or not height:
-        raise Damaged("no width or height")
-    if bits not in (1, 8, 16, 32, 64) or bits == 1 and (samples != 1 or predictor != 1) or set(tags.get(BITS, [bits])) != {bits}:
+    if not width or not height or not samples:
+        raise Damaged("no width, height or samples")
+    if compression not in MOST:
+        raise Damaged(f"compression {compression}")
+    if predictor not in (1, 2, 3) or predictor == 3 and bits not in (16, 32, 64):
+        raise Damaged(f"predictor {predictor} of {bits} bits")
+    if bits not in (1, 8, 16, 32, 64) or bits == 1 and (samples != 1 or predictor != 1) or set(_numbers(tags, BITS, [bits])) != {bits}:
         raise Damaged(f"{bits} bits a sample")
     tiled = TILE_OFFSETS in tags
     if tiled:
         across, down = one(TILE_WIDTH, width), one(TILE_HEIGHT, height)
-        offsets, counts = tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
+        offsets, counts = _numbers(tags, TILE_OFFSETS, []), _numbers(tags, TILE_COUNTS, [])
     else:
         across, down = width, min(height, one(ROWS_PER_STRIP, height))
-        offsets, counts = tags.get(STRIP_OFFSETS, []), tags.get(STRIP_COUNTS, [])
+        offsets, counts = _numbers(tags, STRIP_OFFSETS, []), _numbers(tags, STRIP_COUNTS, [])
     if not across or not down or len(offsets) != len(counts):
         raise Damaged("blocks have no size")
     columns, rows = -(-width // across), -(-height // down)
     layers, each = (samples, 1) if planes == 2 else (1, samples)
     if len(offsets) < columns * rows * layers:
         raise Damaged(f"{len(offsets)} of {columns * rows * layers} blocks")
+    size = max(1, bits // 8)
+    block_bytes = across * each * size if bits > 1 else -(-across // 8)
+    if sum(counts) > SHARED * len(data):
+        raise Damaged(f"blocks of {sum(counts)} bytes in {len(data)}")
+    tall_of = lambda i: down if tiled else min(down, height - i // columns % rows * down)
+    for i in range(columns * rows * layers):
+        if offsets[i] + counts[i] > len(data):
+            raise Damaged(f"block {i} lies outside the file")
+        if tall_of(i) * block_bytes > MOST[compression] * counts[i]:
+            raise Damaged(f"block {i} is short")
     kind = np.dtype("u1") if bits == 1 else np.dtype(f"<f{bits // 8}" if predictor == 3 else f"<u{bits // 8}")
     image = np.zeros((height, width, samples), kind)
     for i in range(columns * rows * layers):
         layer, y, x = i // (columns * rows), i // columns % rows * down, i % columns * across
-        tall = down if tiled else min(down, height - y)
-        if offsets[i] + counts[i] > len(data):
-            raise Damaged(f"block {i} lies outside the file")
-        block = _unpacked(data[offsets[i] : offsets[i] + counts[i]], compression)
+        tall = tall_of(i)
+        need = tall * block_bytes
+        block = _unpacked(data[offsets[i] : offsets[i] + counts[i]], compression, need)
+        if len(block) < need:
+            raise Damaged(f"block {i} is short")
         if bits == 1:
-            need = tall * -(-across // 8)
-            if len(block) < need:
-                raise Damaged(f"block {i} is short")
             grid = np.unpackbits(np.frombuffer(block, np.uint8, need).reshape(tall, -1), axis=1)[:, :across, None]
         else:
-            if len(block) < tall * across * each * bits // 8:
-                raise Damaged(f"block {i} is short")
             grid = _summed(block, tall, across, each, bits, order, predictor)
         grid = grid[: height - y, : width - x]
         image[y : y + grid.shape[0], x : x + grid.shape[1], layer : layer + each] = grid
