@@ -77,3 +77,20 @@ def test_cuckoo_filter():
     for k in keys[2500:]:
         assert f.delete(k)
     assert not f.slots.any() and not f.overflow
+
+
+def test_filters_beyond_broadcast(spark, monkeypatch):
+    """Filters too large to broadcast are met shard by shard, with the same decisions; only what
+    the filters know passes. Keys that very many documents hold are spread."""
+    r = random.Random(9)
+    lines = [f"line number {i} of the pool" for i in range(300)]
+    docs = [(i if i % 9 else None, "a license line that most of them hold\n" * (i % 3 > 0) + "\n".join(r.choice(lines) for _ in range(r.randint(0, 6)))) for i in range(400)] + [(None, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = L.LineIndex.build(frame, shard_keys=40, keep_held=False)
+    assert index.shards > 3
+    told = lambda: sorted((str(x["doc_id"]), str(x["text"]), sorted(map(bytes, x["__tidemark_drop"] or ()))) for x in index.decide(frame).collect())
+    small, passed = told(), index.probed(frame, "doc_id", "text").count()
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr("tidemark.operators.skew.LEAST", 3)
+    assert index.probe() is None and told() == small and any(x[2] for x in small)
+    assert index.probed(frame, "doc_id", "text").count() == passed

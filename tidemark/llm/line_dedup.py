@@ -8,31 +8,39 @@ smallest of them and loses its lines everywhere else.
   behind it and one cuckoo filter for each shard of keys. ``insert`` and ``delete`` take
   documents; a deleted document's references are counted down exactly, a key whose count falls
   under two leaves the filter, and lines that only it had suppressed come back.
-* ``decide`` rewrites documents. Every line probes the filter of its shard first, so lines that
-  are certainly not repeated never travel; what passes meets the exact table, so that a
-  filter's false positives change nothing.
-
-Nulls: a null text is one empty line, a null id is one document after all others. Rows that
-repeat an id belong to one document.
+* ``decide`` rewrites documents. Every line probes the filter of its shard first; what passes
+  meets the exact table, so that a filter's false positives change nothing. While all filters
+  together are small they are broadcast and lines that are certainly not repeated never travel;
+  beyond, lines travel to their shard's filter, ``DEALS`` copies of which share a shard's
+  lines, and are probed as they stream by: a task holds one filter at a time.
+
+Keys that very many documents hold are broadcast with their first documents, the others are
+joined. Null ids: a null text is one empty line, a null id is one document after all others. Rows
+that repeat an id belong to one document; what they lose is found row by row, by id and text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BLANKS, NULL_ID, cut, known_id, map_slices, table
+from tidemark.operators.skew import join_frequent
 
 MIN_KEY = 10
 #: Keys of one shard's filter, about; a shard is one task's work.
 SHARD_KEYS = 200_000
-#: Filters are broadcast up to this many bytes in all; beyond, lines go to the exact table unprobed.
+#: Filters are broadcast up to this many bytes in all; beyond, lines are dealt out to their shards.
 BROADCAST_BYTES = 32 << 20
+#: Copies of each shard's filter among which the shard's lines are dealt out.
+DEALS = 8
 
 
 class CuckooFilter:
@@ -197,39 +205,82 @@ class LineIndex:
             return None
         return {r["shard"]: (bytes(r["slots"]), [bytes(x) for x in r["overflow"]]) for r in self.filters.collect()}
 
-    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc, dropped keys) of the documents that lose lines."""
-        spark, shards, min_key = docs.sparkSession, self.shards, self.min_key
-        small = self.probe()
-        sent = spark.sparkContext.broadcast(small) if small is not None else None
+    def probed(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(doc, words, line_key): the different lines of each row that their shards' filters know."""
+        shards, min_key, small = self.shards, self.min_key, self.probe()
+        texts = docs.select(known_id(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("words"), F.col(text_col).alias("text"))
+
+        def lines(c: dict[str, list]) -> tuple[list, np.ndarray, np.ndarray]:
+            rows = [(doc, w, k) for doc, w, text in zip(c["doc"], c["words"], c["text"], strict=True) for k in set(keys_of(text, min_key)) if k]
+            keys = np.frombuffer(b"".join(k for _, _, k in rows), np.uint8).reshape(-1, 16)
+            return rows, keys, keys[:, 8:12].copy().view("<u4").ravel() % np.uint32(shards)
+
+        if small is None:
+            return self._probed_in_shards(map_slices(texts, lambda c: _with_shards(*lines(c)), "doc long, words long, line_key binary, shard int"))
+        sent = docs.sparkSession.sparkContext.broadcast(small)
         ready: dict[int, CuckooFilter] = {}
 
         def work(c: dict[str, list]) -> dict[str, list]:
-            if sent is not None and not ready:
+            if not ready:
                 ready.update({s: CuckooFilter(0, *x) for s, x in sent.value.items()})
-            rows = [(doc, k) for doc, text in zip(c["doc"], c["text"], strict=True) for k in set(keys_of(text, min_key)) if k]
-            if sent is not None and rows:
-                keys = np.frombuffer(b"".join(k for _, k in rows), np.uint8).reshape(-1, 16)
-                shard = keys[:, 8:12].copy().view("<u4").ravel() % np.uint32(shards)
-                passed = np.zeros(len(rows), bool)
-                for s, f in ready.items():
-                    mine = shard == s
-                    passed[mine] = f.contains_many(keys[mine])
-                rows = [r for r, ok in zip(rows, passed, strict=True) if ok]
-            return {"doc": [r[0] for r in rows], "line_key": [r[1] for r in rows]}
-
-        lines = map_slices(docs.select(known_id(id_col).alias("doc"), F.col(text_col).alias("text")), work, "doc long, line_key binary")
-        repeated = self.counts.where("refs > 1").select("line_key", "first_doc")
-        return lines.join(repeated, "line_key").where("doc <> first_doc").groupBy("doc").agg(F.collect_set("line_key").alias("drop_keys"))
+            rows, keys, shard = lines(c)
+            passed = np.zeros(len(rows), bool)
+            for s, f in ready.items():
+                mine = shard == s
+                passed[mine] = f.contains_many(keys[mine])
+            rows = [r for r, ok in zip(rows, passed, strict=True) if ok]
+            return {"doc": [r[0] for r in rows], "words": [r[1] for r in rows], "line_key": [r[2] for r in rows]}
+
+        return map_slices(texts, work, "doc long, words long, line_key binary")
+
+    def _probed_in_shards(self, lines: DataFrame) -> DataFrame:
+        """Lines and copies of the filters meet by (shard, deal); the filter comes first."""
+        own = lines.withColumn("deal", F.pmod(F.xxhash64("doc", "words"), F.lit(DEALS)).cast("int")).select("shard", "deal", F.lit(1).alias("kind"), "doc", "words", "line_key", F.lit(None).cast("binary").alias("slots"), F.lit(None).cast("array<binary>").alias("overflow"))
+        copies = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("words"), F.lit(None).cast("binary").alias("line_key"), "slots", "overflow")
+        dealt = own.unionByName(copies).repartition("shard", "deal").sortWithinPartitions("shard", "deal", "kind")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, known = None, None
+            for batch in batches:
+                kind, where = batch.column("kind").to_numpy(), np.stack([batch.column(n).to_numpy() for n in ("shard", "deal")], axis=1)
+                cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1), batch.num_rows]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a == b:
+                        continue
+                    if at != tuple(where[a]):
+                        at, known = tuple(where[a]), None
+                    if kind[a] == 0:
+                        known = CuckooFilter(0, batch.column("slots")[a].as_py(), batch.column("overflow")[a].as_py())
+                        a += 1
+                    part = batch.slice(a, b - a).select(["doc", "words", "line_key"])
+                    if known is not None and part.num_rows:
+                        keys = np.frombuffer(b"".join(part.column("line_key").to_pylist()), np.uint8).reshape(-1, 16)
+                        yield part.filter(pa.array(known.contains_many(keys)))
+
+        return dealt.mapInArrow(run, "doc long, words long, line_key binary")
+
+    def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(doc, words, dropped keys) of the rows that lose lines; ``words`` is a hash of the text.
+        Rows of one document whose texts hash alike would lose the same keys anyway."""
+        repeated = self.counts.where("refs > 1").select("line_key", "first_doc", "refs")
+        total = repeated.agg(F.sum("refs")).first()[0] or 0
+        met = join_frequent(self.probed(docs, id_col, text_col), repeated, ["line_key"], total, "refs")
+        return met.where("doc <> first_doc").groupBy("doc", "words").agg(F.collect_set("line_key").alias("drop_keys"))
 
     def decide(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc, text, drop_keys): each row of the documents with the keys that it loses.
 
         The small side is built in memory for each partition, so that texts are dealt out once
-        and never sorted.
+        and never sorted. Rows are dealt out by id and text: null ids are no single task's.
         """
         lost = self.dropped(docs, id_col, text_col)
-        return docs.withColumn("__tidemark_doc", known_id(id_col)).join(lost.withColumnRenamed("doc", "__tidemark_doc").withColumnRenamed("drop_keys", "__tidemark_drop").hint("shuffle_hash"), "__tidemark_doc", "left")
+        lost = lost.select(F.col("doc").alias("__tidemark_doc"), F.col("words").alias("__tidemark_words"), F.col("drop_keys").alias("__tidemark_drop")).hint("shuffle_hash")
+        named = docs.withColumn("__tidemark_doc", known_id(id_col)).withColumn("__tidemark_words", F.xxhash64(F.col(text_col)))
+        return named.join(lost, ["__tidemark_doc", "__tidemark_words"], "left")
+
+
+def _with_shards(rows: list, keys: np.ndarray, shard: np.ndarray) -> dict[str, list]:
+    return {"doc": [r[0] for r in rows], "words": [r[1] for r in rows], "line_key": [r[2] for r in rows], "shard": shard.astype(np.int32)}
 
 
 def _shard_of(shards: int):
