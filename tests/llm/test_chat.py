@@ -24,10 +24,10 @@ def test_nothing_is_lost(turns):
 
 
 def test_operator(spark):
-    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a<s>"), (1, 2, "user", None), (2, 0, "user", "only"), (None, 0, None, ""), (3, 0, "assistant", "x"), (3, 0, "assistant", "x")]
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a<s>"), (1, 2, "user", None), (2, 0, "user", "only"), (None, 0, None, ""), (None, 1, "assistant", "q"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, n_turns string")
     got = sorted(((r["conv_id"], r["n_turns"], r["text"][r["loss_start"] : r["loss_end"]]) for r in chat.chat_examples(df).collect()), key=str)
-    assert got == sorted([(1, 2, "b"), (1, 3, ""), (2, 1, ""), (None, 1, ""), (3, 1, "x"), (3, 2, "x")], key=str)
+    assert got == sorted([(1, 2, "b"), (1, 3, ""), (2, 1, ""), (None, 1, ""), (None, 1, "q"), (3, 1, "x"), (3, 2, "x")], key=str)
     assert chat.chat_examples(df.limit(0)).count() == 0
 
 

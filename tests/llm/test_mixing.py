@@ -35,7 +35,7 @@ def plain(rows):
         for d, s, t in rows:
             if s == source:
                 w = (t or "").encode().split()
-                u = (int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                u = (int(hashlib.md5(("null:" + hashlib.md5((t or "").encode()).hexdigest() if d is None else str(d)).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
                 mine.append((-math.log(u) / ((len(set(w)) + 1) / (len(w) + 1)), -1 if d is None else d, len(w)))
         for _, d, n in sorted(mine):
             part = max(0, min(n, rest))

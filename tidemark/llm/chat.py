@@ -8,8 +8,8 @@ The template writes a turn as ``<|turn|>role<|text|>text<|end|>`` and a line end
 strings inside texts (its own and those of common chat templates) get a backslash after their
 first character, and each backslash of the text is doubled; that is undone without loss.
 
-Turns go in order of (turn, role, text), nulls first; a null role or text is empty, rows
-whose conversation is null form one conversation.
+Turns go in order of (turn, role, text), nulls first; a null role or text is empty. A row whose
+conversation is null belongs to no other row: it is a conversation of its own.
 """
 
 from __future__ import annotations
@@ -58,7 +58,8 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 def conversations(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("__tidemark_alone")
+    return turns.select(F.col(conv_col).alias("conv_id"), alone, row.alias("row")).groupBy("conv_id", "__tidemark_alone").agg(F.array_sort(F.collect_list("row")).alias("turns")).drop("__tidemark_alone")
 
 
 def chat_examples(turns: DataFrame) -> DataFrame:
@@ -99,15 +100,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(<)(\|turn\|>|\|text\|>|\|end\|>|s>|/s>|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|eot_id\|>)|(\[)(INST\]|/INST\])', '\1\3\\\2\4', 'g')"
 OP7_SQL = rf"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
  s AS (SELECT *, length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 24 AS chars,
-              row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS of FROM t),
- p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS upto FROM s)
+              row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY conv_id, alone) AS of FROM t),
+ p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id, alone ORDER BY n) AS upto FROM s)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || E'\n' || text || E'\n', '' ORDER BY n)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(CASE WHEN role = 'assistant' OR n = of THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars,
        CAST(sum(CASE WHEN role = 'assistant' OR n = of THEN 1 ELSE 0 END) AS BIGINT) AS n_examples
-FROM p GROUP BY conv_id
+FROM p GROUP BY conv_id, alone
 """

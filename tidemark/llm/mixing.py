@@ -10,8 +10,8 @@ No source is ever sorted as a whole. Keys fall into buckets (the binary logarith
 ``BUCKETS`` to the octave); sizes are summed by bucket with map-side partial sums, the bucket
 at the edge is found among the sums, and only that bucket's rows are sorted.
 
-Nulls: a null text has size 0, a null source is a source of its own and comes last, a null id
-draws as the empty string does. Rows that repeat draw the same key and are taken one by one.
+Nulls: a null text has size 0, a null source is a source of its own and comes last, a row
+of a null id draws by its text. Rows that repeat draw the same key and are taken one by one.
 """
 
 from __future__ import annotations
@@ -49,18 +49,23 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def draw_key(doc_id: Column, weight: Column, seed: str = "") -> Column:
-    """-ln(u)/w with u in (0, 1) from 48 bits of a hash of the id; the same on every run."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double")
+def draw_name(doc_id: Column, text: Column) -> Column:
+    """What a row draws by: its id; without one its text, so that such rows do not all draw alike."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def draw_key(name: Column, weight: Column, seed: str = "") -> Column:
+    """-ln(u)/w with u in (0, 1) from 48 bits of a hash of the name; the same on every run."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), name)), 1, 12), 16, 10).cast("double")
     return -F.log((bits + 0.5) / F.lit(float(2**48))) / weight
 
 
 def mix(sized: DataFrame, targets: DataFrame, seed: str = "", buckets: int = BUCKETS) -> DataFrame:
-    """(doc_id, source, size, quality) and targets to the words taken of each row.
+    """(doc_id, name, source, size, quality) and targets to the words taken of each row.
 
-    ``quality`` > 0 is the sampling weight. Whole result: one row for each row of ``sized``.
+    Rows draw by ``name``; ``quality`` > 0 is the sampling weight. Whole result: one row for each row of ``sized``.
     """
-    keyed = sized.withColumn("draw", draw_key(F.col("doc_id"), F.col("quality"), seed))
+    keyed = sized.withColumn("draw", draw_key(F.col("name"), F.col("quality"), seed))
     keyed = keyed.withColumn("bucket", F.floor(F.log2(F.col("draw")) * buckets))
     goal = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -97,7 +102,7 @@ def _mixed(weighed: DataFrame, seed: str) -> DataFrame:
 
 def mix_documents(docs: DataFrame, seed: str = "") -> DataFrame:
     """(doc_id, source, size, source_size, target, epochs, taken) of documents(doc_id, source, text)."""
-    weighed = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")).drop("text")
+    weighed = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), draw_name(F.col("doc_id"), F.col("text")).alias("name"), "source", "text")).drop("text")
     return _mixed(cut(weighed), seed).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
 
 
@@ -111,7 +116,7 @@ def mixture(docs: DataFrame, seed: str = "") -> DataFrame:
     rows of the buckets at the edge are dealt out with their texts.
     """
     row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
-    weighed = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", row)).drop("text")
+    weighed = sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), draw_name(F.col("doc_id"), F.col("text")).alias("name"), "source", "text", row)).drop("text")
     own = [F.col(f"row.`{n}`").alias(f"documents_{n}" if n in MADE else n) for n in docs.columns]
     return _mixed(cut(weighed), seed).where("taken > 0").select(*own, *MADE)
 
@@ -122,8 +127,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS size, (len(list_distinct(w)) + 1)::DOUBLE / (len(w) + 1) AS quality
-  FROM (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
+  SELECT doc_id, name, source, CAST(len(w) AS BIGINT) AS size, (len(list_distinct(w)) + 1)::DOUBLE / (len(w) + 1) AS quality
+  FROM (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS name, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)),
  src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
                 CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight
          FROM sized GROUP BY source),
@@ -134,7 +139,7 @@ WITH sized AS (
               / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target FROM b),
  g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
  k AS (SELECT s.doc_id, s.size, g.source_size, g.target, g.epochs, CAST(floor(g.target - g.epochs * g.source_size) AS BIGINT) AS rest, s.source,
-              -ln((CAST('0x' || substr(md5(CAST(s.doc_id AS VARCHAR)), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / s.quality AS draw
+              -ln((CAST('0x' || substr(md5(s.name), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE) / s.quality AS draw
        FROM sized s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, rest - coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
