@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -35,7 +36,7 @@ def test_op10(spark, folder):
 
 def test_no_negative_label_is_used(spark, folder):
     at, _ = folder
-    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    docs, labels = Q.featured(spark.read.parquet(f"{at}/documents.parquet")), spark.read.parquet(f"{at}/labels.parquet")
     model = Q.train(docs, labels)
     assert (model.weights == Q.train(docs, labels.where("quality = 1")).weights).all()
     assert 0.6 < model.prior < 0.95  # 0.8 in truth
@@ -43,7 +44,7 @@ def test_no_negative_label_is_used(spark, folder):
 
 def test_without_positives(spark, folder):
     at, _ = folder
-    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    docs, labels = Q.featured(spark.read.parquet(f"{at}/documents.parquet")), spark.read.parquet(f"{at}/labels.parquet")
     model = Q.train(docs, labels.where("quality = 0"))
     assert {r["quality_score"] for r in Q.scored(docs, model).collect()} == {0.5}
     assert Q.scored(docs.limit(0), model).count() == 0
@@ -53,6 +54,18 @@ def test_prior_and_risk():
     r = np.random.RandomState(0)
     p, n = r.normal(2, 1, (2000, 1)), r.normal(-2, 1, (600, 1))
     u = np.vstack([r.normal(2, 1, (1400, 1)), n])
-    assert abs(Q.estimate_prior(p[:, 0], u[:, 0]) - 0.7) < 0.08
+    assert abs(Q.estimate_prior(p[:, 0], Q.above(u[:, 0], Q.prior_cuts(p[:, 0])), len(u)) - 0.7) < 0.08
     w = Q.minimise_risk(p, u, 0.7, np.zeros(2))
     assert ((u @ w[:1] + w[1] > 0)[:1400].mean(), (u @ w[:1] + w[1] < 0)[1400:].mean()) > (0.95, 0.95)
+
+
+def test_statistics_cover_all_rows(spark, folder):
+    """Mean, spread and prior are those of all rows that are not held out, however few are sampled."""
+    at, rows = folder
+    docs, labels = Q.featured(spark.read.parquet(f"{at}/documents.parquet")), spark.read.parquet(f"{at}/labels.parquet")
+    known = [t for d, t, _, _ in rows if d is not None and zlib.crc32(str(d).encode()) % 5]
+    x = np.array([Q.features(t) for t in known])
+    model, few = Q.train(docs, labels), Q.train(docs, labels, 200, 150)
+    for m in (model, few):
+        assert np.allclose(m.scale.mean, x.mean(axis=0)) and np.allclose(m.scale.spread, np.maximum(x.std(axis=0), 1e-3))
+    assert 0.6 < few.prior < 0.95 and few.prior != model.prior

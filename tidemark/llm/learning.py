@@ -9,23 +9,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, held_out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(label, text) of at most ``most`` labelled rows that are not held out, lowest hash first.
-
-    The ids of the sample, at most ``most`` rows, are broadcast; no text is dealt out. A row
-    without an id, label or with a held-out id is never used.
-    """
+def sample_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(id, label) of at most ``most`` labelled rows that are not held out, lowest hash first. A row
+    without an id, label or with a held-out id is never used."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out())
-    ids = usable.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return cut(texts.join(F.broadcast(ids), "id").select("label", "text"))
+    return usable.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(most)
 
 
-def unlabelled_rows(docs: DataFrame, most: int) -> DataFrame:
-    """(text) of at most ``most`` documents that are not held out, lowest hash of the id first."""
-    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = texts.select("id").orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most).distinct()
-    return cut(texts.join(F.broadcast(ids), "id").select("text"))
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(label, text) of the sampled labelled rows. The ids, at most ``most``, are broadcast; no text
+    is dealt out."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return cut(texts.join(F.broadcast(sample_ids(labels, label, most)), "id").select("label", "text"))
 
 
 class Scale:
@@ -35,6 +30,13 @@ class Scale:
         self.mean = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         self.spread = np.maximum(x.std(axis=0), 1e-3) if len(x) else np.ones(x.shape[1])
 
+    @classmethod
+    def of(cls, mean: np.ndarray, spread: np.ndarray) -> Scale:
+        """From figures that were found elsewhere."""
+        made = cls(np.zeros((0, len(mean))))
+        made.mean, made.spread = mean, np.maximum(spread, 1e-3)
+        return made
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8)
 

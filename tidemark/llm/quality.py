@@ -8,8 +8,11 @@ estimated first, then the non-negative unbiased risk is minimised,
 
 with the logistic loss over features of the text's form and their squares and products.
 
-At most ``MAX_POSITIVE`` labelled and ``MAX_UNLABELLED`` unlabelled rows are used; held-out rows
-(crc32 of the id mod 5 is 0) are in neither. Nulls are empty texts, which get a score too.
+Features are computed once for every document and written as a narrow table. Their means and
+spreads and the class prior come from all documents that are not held out (crc32 of the id mod 5
+is 0), by aggregates. The classifier itself is fitted on bounded samples, lowest hash of the id
+first: at most ``MAX_POSITIVE`` labelled rows, and as the unlabelled side of the risk at most
+``MAX_UNLABELLED`` rows; both are parameters. Nulls are empty texts, which get a score too.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, map_slices, table
-from tidemark.llm.learning import Scale, logistic, sigmoid, training_rows, unlabelled_rows
+from tidemark.llm.common import cut, held_out, map_slices, table
+from tidemark.llm.learning import Scale, logistic, sample_ids, sigmoid
 
 MAX_POSITIVE, MAX_UNLABELLED = 20_000, 20_000
 THRESHOLD = 0.3
@@ -72,15 +75,24 @@ def expanded(x: np.ndarray) -> np.ndarray:
     return np.hstack([x, np.clip(x[:, i] * x[:, j], -8, 8)])
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores that part the two: above any
+def prior_cuts(positive: np.ndarray) -> np.ndarray:
+    """Scores that keep at least a tenth of the positives above them."""
+    return np.quantile(positive, np.linspace(0.0, 0.9, 46)) if len(positive) else np.zeros(0)
+
+
+def above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many scores are at each cut or above."""
+    return len(scores) - np.searchsorted(np.sort(scores), cuts, side="left")
+
+
+def estimate_prior(positive: np.ndarray, unlabelled_above: np.ndarray, n: int) -> float:
+    """The share of positives among ``n`` unlabelled rows, from scores that part the two: above any
     cut the unlabelled hold at least the prior's share of what the positives hold; the least
     such quotient, over cuts that keep enough positives, is the estimate."""
-    if not len(positive) or not len(unlabelled):
+    if not len(positive) or not n:
         return 0.5
-    cuts = np.quantile(positive, np.linspace(0.0, 0.9, 46))
-    above = lambda s: 1 - np.searchsorted(np.sort(s), cuts, side="left") / len(s)
-    return float(np.clip((above(unlabelled) / np.maximum(above(positive), 1e-9)).min(), 0.05, 0.99))
+    kept = above(positive, prior_cuts(positive)) / len(positive)
+    return float(np.clip((unlabelled_above / n / np.maximum(kept, 1e-9)).min(), 0.05, 0.99))
 
 
 def minimise_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, start: np.ndarray, rounds: int = 600, rate: float = 0.02, penalty: float = 1e-3) -> np.ndarray:
@@ -111,40 +123,63 @@ class Model:
         return sigmoid(expanded(self.scale(x)) @ self.weights[:-1] + self.weights[-1]) if len(x) else np.zeros(0)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+def nothing_known() -> Model:
     """Without positives or without unlabelled rows every text scores the same, one half."""
+    return Model(Scale(np.zeros((0, FEATURES))), np.zeros(FEATURES + FEATURES * (FEATURES + 1) // 2 + 1), 0.5)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): the features of every row, in the shared folder."""
+
+    def work(c: dict[str, list]) -> dict[str, list]:
+        return {"doc_id": c["doc_id"], "x": [features(t) for t in c["text"]]}
+
+    return cut(map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, x array<double>"))
+
+
+def _matrix(df: DataFrame) -> np.ndarray:
+    return np.array([r["x"] for r in df.select("x").collect()]).reshape(-1, FEATURES)
+
+
+def train(rows: DataFrame, labels: DataFrame, most_positive: int = MAX_POSITIVE, most_unlabelled: int = MAX_UNLABELLED) -> Model:
+    """From the features of all documents (``featured``) and the labels."""
+    known = rows.where(F.col("doc_id").isNotNull() & ~held_out())
+    positive = _matrix(known.join(F.broadcast(sample_ids(labels.where("quality = 1"), "quality", most_positive)), known["doc_id"] == F.col("id")))
+    ids = known.select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most_unlabelled).distinct()
+    unlabelled = _matrix(known.join(F.broadcast(ids), known["doc_id"] == F.col("id")))
     if not len(positive) or not len(unlabelled):
-        return Model(Scale(np.zeros((0, FEATURES))), np.zeros(FEATURES + FEATURES * (FEATURES + 1) // 2 + 1), 0.5)
-    scale = Scale(unlabelled)
+        return nothing_known()
+    column = lambda i: F.element_at("x", i + 1)
+    stats = known.agg(F.count("*").alias("n"), *[F.avg(column(i)).alias(f"m{i}") for i in range(FEATURES)], *[F.stddev_pop(column(i)).alias(f"s{i}") for i in range(FEATURES)]).first()
+    # rounded: the order in which partial sums meet must not show
+    scale = Scale.of(*[np.round([stats[f"{k}{i}"] for i in range(FEATURES)], 9) for k in "ms"])
     p, u = expanded(scale(positive)), expanded(scale(unlabelled))
     apart = logistic(np.vstack([p, u]), np.append(np.ones(len(p)), np.zeros(len(u))), penalty=10.0)
-    prior = estimate_prior(p @ apart[:-1], u @ apart[:-1])
+    cuts = prior_cuts(p @ apart[:-1])
+
+    def count(c: dict[str, list]) -> dict[str, list]:
+        scores = expanded(scale(np.array(c["x"]).reshape(-1, FEATURES))) @ apart[:-1]
+        return {"cut": list(range(len(cuts))), "n": above(scores, cuts).tolist()}
+
+    counted = map_slices(known.select("x"), count, "cut int, n long").groupBy("cut").agg(F.sum("n").alias("n")).collect()
+    over = np.array([r["n"] for r in sorted(counted, key=lambda r: r["cut"])])
+    prior = estimate_prior(p @ apart[:-1], over, stats["n"])
     start = apart.copy()
     start[-1] = np.log(prior / (1 - prior))
     return Model(scale, minimise_risk(p, u, prior, start), prior)
 
 
-def _rows(df: DataFrame) -> np.ndarray:
-    got = map_slices(df.select("text"), lambda c: {"x": [features(t) for t in c["text"]]}, "x array<double>").collect()
-    return np.array([r["x"] for r in got]).reshape(-1, FEATURES)
-
-
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = MAX_POSITIVE, most_unlabelled: int = MAX_UNLABELLED) -> Model:
-    positive = training_rows(docs, labels.where("quality = 1"), "quality", most_positive)
-    return fit(_rows(positive), _rows(unlabelled_rows(docs, most_unlabelled)))
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, quality_score) of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, quality_score) of each row of features."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(c: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": c["doc_id"], "quality_score": sent.value.score(np.array([features(t) for t in c["text"]]).reshape(-1, FEATURES))}
+        return {"doc_id": c["doc_id"], "quality_score": sent.value.score(np.array(c["x"]).reshape(-1, FEATURES))}
 
-    return map_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, quality_score double")
+    return map_slices(rows.select("doc_id", "x"), work, "doc_id long, quality_score double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    rows = featured(table(spark, sf_dir, "documents"))
+    out = scored(rows, train(rows, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
