@@ -6,14 +6,16 @@ counts, so that copies of one text do not make all its words look toxic).
 
 The trie and the automaton for 1 edit (2 from 8 letters on) are run as one product automaton,
 whose states are made as texts need them; a misspelled term is found in one walk over the word.
-Words that clean training texts use are no misspellings, however near they are.
+A word near a term is no misspelling of it if clean training rows use it relatively as often as
+that term's odds forbid, and a term has no misspellings at all if the words near it are usual in
+clean rows (``MAX_CLEAN_SHARE`` of them have one): both are shares, whatever the sample's size.
 
 A hit counts less where its window quotes or reports it and more where it addresses someone.
 The features of a document go through a logistic regression.
 
-Nulls and empty texts have no hits and get the score of a text without any, which is never 0.5
-or more. At most
-``MAX_LABELLED`` labelled rows are used, ``MAX_TERMS`` terms are kept.
+Nulls and empty texts have no hits and get the score of a text without any, which is learnt as
+all others are. At most ``MAX_LABELLED`` labelled rows are used; all terms that pass are kept.
+Without labelled rows of both kinds nothing can be told apart: every text scores 0.25.
 """
 
 from __future__ import annotations
@@ -30,20 +32,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, held_out, keep_rows, map_slices, table
 from tidemark.llm.learning import Scale, logistic, sigmoid, training_rows
 
-MAX_LABELLED, MAX_TERMS = 30_000, 2000
+MAX_LABELLED = 30_000
 #: A term stands in so many different places and has such odds; a stem starts so many words.
 MIN_PLACES, MIN_LOG_ODDS, MIN_WORDS = 8, 2.5, 3
 STEMS = (4, 5, 6)
-#: Misspellings of a term count if clean training texts have at most so many words near it.
-MAX_CLEAN_NEAR = 3
+#: Misspellings of a term count unless such a share of the clean training rows has words near it.
+MAX_CLEAN_SHARE = 0.005
 WORD = re.compile(r"[^\W_]+")
 #: Tokens on either side of a hit; what quoting and addressing windows hold.
 WINDOW = 6
 QUOTES = "\"'`“”„«»‘’‹›"
 REPORTS = frozenset("said says say wrote writes quote quoted quotes called term word words phrase reported reportedly alleged dit dits cite mot sagte sagt schrieb zitat wort dijo dice escribió cita palabra".split())
 ADDRESS = frozenset("you your yours you're u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted vos".split())
-#: A text without any hit scores so much at most, whatever share of the labels is toxic.
-NO_HIT = 0.49
 #: Words that one task remembers; states of the automaton before it starts anew.
 REMEMBERED, MAX_STATES = 150_000, 20_000
 
@@ -214,8 +214,7 @@ class Model:
         if not rows:
             return np.zeros(0)
         x = np.array(rows)
-        found = sigmoid(self.scale(x) @ self.weights[:-1] + self.weights[-1])
-        return np.where(x.any(axis=1), found, np.minimum(found, NO_HIT))
+        return sigmoid(self.scale(x) @ self.weights[:-1] + self.weights[-1])
 
 
 def _terms(tokens: list[str]) -> set[tuple[str, str, str]]:
@@ -239,7 +238,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     seen = map_slices(rows.where("label = 1").select("text"), places, "term string, before string, word string")
     seen = seen.groupBy("term").agg(F.countDistinct("before").alias("places"), F.countDistinct("word").alias("words"))
     seen = seen.where((F.col("places") >= MIN_PLACES) & (~F.col("term").endswith("*") | (F.col("words") >= MIN_WORDS)))
-    candidates = {r["term"]: r["words"] for r in seen.orderBy(F.desc("places"), "term").limit(20 * MAX_TERMS).collect()}
+    candidates = {r["term"]: r["words"] for r in seen.collect()}
 
     def uses(c: dict[str, list]) -> dict[str, list]:
         counts: Counter = Counter()
@@ -254,22 +253,26 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     for t in sorted((t for t in good if t.endswith("*")), key=len):
         if not any(t[:n] in stems for n in STEMS):
             stems[t[:-1]] = odds[t]
-    words = {t: odds[t] for t in [t for t in good if not t.endswith("*")][:MAX_TERMS]}
+    words = {t: odds[t] for t in good if not t.endswith("*")}
     lexicon = Lexicon(words, stems)
 
     terms = sorted(w for w in words if edits_allowed(w))
 
     def near(c: dict[str, list]) -> dict[str, list]:
-        trie = FuzzyTrie(terms)
-        found = {(t, hit[0]) for t in {t for x in c["text"] for t in WORD.findall(x.lower()) if len(t) >= 4} if t not in words and (hit := trie.find(t))}
-        return {"word": [x[0] for x in found], "near": [x[1] for x in found]}
-
-    if terms:
-        # a term that clean texts have many words near of is part of a family of usual words
-        clean = cut(map_slices(rows.where("label = 0").select("text"), near, "word string, near string").distinct())
-        usual = {r["near"] for r in clean.groupBy("near").count().where(F.col("count") > MAX_CLEAN_NEAR).collect()}
+        trie, out = FuzzyTrie(terms), []
+        for label, x in zip(c["label"], c["text"], strict=True):
+            out += [(label, t, hit[0]) for t in set(WORD.findall(x.lower())) if len(t) >= 4 and t not in words and (hit := trie.find(t))]
+        return {"label": [x[0] for x in out], "word": [x[1] for x in out], "near": [x[2] for x in out]}
+
+    if terms and n_clean:
+        # one row for each row and word near a term
+        used = cut(map_slices(rows, near, "label int, word string, near string").groupBy("near", "word").agg(F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")))
+        # a term that clean texts often have words near of is part of a family of usual words
+        usual = {r["near"] for r in used.groupBy("near").agg(F.sum("clean").alias("clean")).where(F.col("clean") > MAX_CLEAN_SHARE * n_clean).collect()}
         lexicon.fuzzy = set(terms) - usual
-        lexicon.clean = {r["word"] for r in clean.where(F.col("near").isin(sorted(lexicon.fuzzy))).select("word").distinct().collect()}
+        odds_of = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+        veto = used.where((F.col("clean") > 0) & (odds_of < MIN_LOG_ODDS)).select("word", "near").collect()
+        lexicon.clean = {r["word"] for r in veto if r["near"] in lexicon.fuzzy}
     return lexicon
 
 
@@ -288,6 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
     x = np.array([r["x"] for r in got]).reshape(-1, FEATURES)
     y = np.array([float(r["label"] == 1) for r in got])
     scale = Scale(x)
+    if len(set(y)) < 2:
+        return Model(lexicon, scale, np.append(np.zeros(FEATURES), -math.log(3)))
     return Model(lexicon, scale, logistic(scale(x), y))
 
 
