@@ -15,7 +15,7 @@ Documents link at a Jaccard similarity of 0.8 and more, confirmed on whole sets.
    of them, in blocks of bounded size, so that no link between different texts is lost. Blocks
    compare signatures in memory and only tell the pairs that the whole sets must decide.
 
-Null ids are one node after all others, rows that repeat an id are one node; null texts are
+Frequent copies, buckets and centres of stars are spread (``join_frequent``). Null ids are one node after all others, rows that repeat an id are one node; null texts are
 empty. The component's name is its smallest id.
 """
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, id_back, known_id, map_slices, table
 from tidemark.operators.components import connected_components
+from tidemark.operators.skew import join_frequent
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SIGNATURE = 32, 4, 1024
@@ -216,12 +217,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc, n_shingles, component): one row for each row of ``docs``, ids made known."""
     signed = cut(banded(docs, id_col, text_col, shingle))
     rows = signed.select("doc", "copy", "n")
-    classes = cut(rows.where("n > 0").groupBy("copy").agg(F.min("doc").alias("node")))
-    nodes = cut(signed.join(classes.withColumnRenamed("node", "doc"), ["copy", "doc"], "left_semi").select(F.col("doc").alias("node"), "n", "bands"))
+    classes = cut(rows.where("n > 0").groupBy("copy").agg(F.min("doc").alias("node"), F.count("*").alias("copies")))
+    nodes = cut(signed.join(classes.select("copy", F.col("node").alias("doc")), ["copy", "doc"], "left_semi").select(F.col("doc").alias("node"), "n", "bands"))
 
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     leaders = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("of")).where("leader < last").drop("last")
-    members = cut(spread.join(leaders, "bucket"))
+    in_buckets = BANDS * nodes.count()
+    members = cut(join_frequent(spread, leaders, ["bucket"], in_buckets, "of"))
     sets = cut(shingle_sets(docs, members.select("node").distinct(), id_col, text_col, shingle))
     pairs = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.max("of").alias("of"))
     labels = connected_components(cut(_confirmed(pairs, sets, similarity)), cut)
@@ -229,8 +231,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.drop("leader")
     for round_ in range(1, STAR_ROUNDS + 2):
         named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed_buckets = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "component")).alias("lead")).where("x < y").select("bucket", "lead")
-        open_ = cut(named.join(mixed_buckets, "bucket"))
+        mixed_buckets = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "component")).alias("lead"), F.max("of").alias("n")).where("x < y").select("bucket", "lead", "n")
+        open_ = cut(join_frequent(named, mixed_buckets, ["bucket"], in_buckets).drop("n"))
         sizes = open_.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         pairs_left, rows_left = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
         if not pairs_left:
@@ -248,8 +250,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         members = open_.drop("component", "lead")
 
-    named = classes.join(labels, "node", "left").select("copy", F.coalesce("component", "node").alias("component"))
-    return rows.where("n > 0").join(named, "copy").unionByName(rows.where("n = 0").withColumn("component", F.col("doc"))).select("doc", F.col("n").alias("n_shingles"), "component")
+    named = cut(classes.join(labels, "node", "left").select("copy", "copies", F.coalesce("component", "node").alias("component")))
+    found = join_frequent(rows.where("n > 0"), named, ["copy"], rows.count(), "copies")
+    return found.select("doc", "n", "component").unionByName(rows.where("n = 0").select("doc", "n", F.col("doc").alias("component"))).select("doc", F.col("n").alias("n_shingles"), "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
