@@ -10,6 +10,7 @@ def facts(text):
         "decls": [d.names for d in m.decls],
         "runs": [name(i) for i, d in enumerate(m.decls) if d.runs],
         "refs": {name(i): [name(r) for r in d.refs] for i, d in enumerate(m.decls) if d.refs},
+        "written_by": {name(i): [name(r) for r in d.written_by] for i, d in enumerate(m.decls) if d.written_by},
         "imports": {name(i): [(m.sources[u.source], u.name) for u in d.imports] for i, d in enumerate(m.decls) if d.imports},
         "exports": [(n, k, m.decls[t].names[0] if k == "local" else m.sources[t], o) for n, k, t, o, _, _ in m.exports],
         "stars": [m.sources[s] for s in m.stars],
@@ -44,7 +45,7 @@ def test_what_runs():
 def test_writers():
     f = facts("let n = 0\nconst o = { v: 1 }\nconst k = 'fixed'\nexport const inc = () => { n++ }\nexport const get = () => n\nexport const set = (x) => { o.v = x }\nexport const show = () => `${k}`\n")
     assert f["writers"]["n"] == ["inc"] and "set" in f["writers"]["o"] and "k" not in f["writers"]
-    assert "inc" in f["refs"]["get"]
+    assert f["refs"]["get"] == ["n"] and f["written_by"]["get"] == ["inc"]
 
 
 @pytest.mark.parametrize("text", ["const a = require(x)", "module.exports = make()", "exports.a = 1; use(exports)", "exports.a = 1; exports.a = 2", "import x from 'y'; exports.a = x", "eval('1')", "const a = (1", "namespace N { }", "@dec class A {}", "export = a", "import(x)", "export { missing }"])

@@ -33,6 +33,22 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> Da
     return reduce(DataFrame.unionByName, levels)
 
 
+def least_sources(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, source): of the sources that reach a node, itself included, the least.
+
+    Labels travel, not searches: a node is told on only when its label gets less, so that one
+    pass over the graph serves all sources, however many.
+    """
+    edges = cut(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct())
+    level = cut(sources.select("node", F.col("node").alias("source")).distinct())
+    known = level
+    while not level.isEmpty():
+        told = level.join(edges, F.col("node") == F.col("__src")).groupBy(F.col("__dst").alias("node")).agg(F.min("source").alias("source"))
+        level = cut(told.join(known.withColumnRenamed("source", "was"), "node", "left").where("was is null or source < was").select("node", "source"))
+        known = cut(known.join(level.select("node"), "node", "left_anti").unionByName(level))
+    return known
+
+
 def search(edges: DataFrame, anchors: DataFrame, marks: DataFrame, complete: bool = False) -> tuple[DataFrame, DataFrame]:
     """First-in-first-out search of many anchors at once.
 
@@ -46,11 +62,12 @@ def search(edges: DataFrame, anchors: DataFrame, marks: DataFrame, complete: boo
     first = Window.partitionBy("anchor", "node").orderBy("pos")
     level = anchors.withColumn("r", F.row_number().over(first)).where("r = 1")
     level = cut(level.select("anchor", "node", F.lit(None).cast(anchors.schema["node"].dataType).alias("parent"), (F.row_number().over(Window.partitionBy("anchor").orderBy("pos")) - 1).cast("long").alias("at")))
-    levels, hits = [level], None
+    levels = [level]
+    hits = level.select("anchor", "node", "at").limit(0)
     while not level.isEmpty():
         met = level.join(marks, "node", "left_semi").groupBy("anchor").agg(F.min_by("node", "at").alias("node"), F.min("at").alias("at"))
         met = cut(met)
-        hits = met if hits is None else hits.unionByName(met.join(hits.select("anchor"), "anchor", "left_anti"))
+        hits = hits.unionByName(met.join(hits.select("anchor"), "anchor", "left_anti"))
         going = level.join(met.select("anchor", F.col("at").alias("hit")), "anchor", "left")
         if not complete:  # what stands in the queue behind the hit is never taken from it
             going = going.where("hit is null or at < hit")

@@ -23,6 +23,7 @@ from tidemark.functions.text import STYLES, is_source, is_style, package_name
 from tidemark.functions.types import erased, runs_nothing
 from tidemark.operators import closure, folds, matching
 from tidemark.shared import cut
+from tidemark.sources.compare import same_module
 from tidemark.sources.config import CONFIG, ConfigError, above, nearest, read_config
 from tidemark.sources.diff import Entry, parse_diff
 from tidemark.sources.lockfile import changed_packages
@@ -84,6 +85,12 @@ def bundler_of(layout: Layout, anchor: str) -> Bundler:
     return Bundler(tuple(nearest(chain, "conditions", ["import", "require"])), tuple(nearest(chain, "main_fields", ["main"])))
 
 
+def bundler_key(layout: Layout, path: str) -> tuple:
+    """What files must have in common to be searched on one edge table."""
+    b = bundler_of(layout, path)
+    return b.conditions, b.main_fields, bool(nearest(layout.chain(posixpath.dirname(path)), "inline_requires", False))
+
+
 def resolve(requests: DataFrame, files: DataFrame, resolver: Resolver) -> DataFrame:
     """(path, specifier, ord) to (path, specifier, ord, target): ranked join with the files."""
     sent = requests.sparkSession.sparkContext.broadcast(resolver)
@@ -96,7 +103,35 @@ def resolve(requests: DataFrame, files: DataFrame, resolver: Resolver) -> DataFr
 
     tried = requests.select("path", "specifier", "ord").mapInArrow(run, "path string, specifier string, ord long, step long, target string")
     present = tried.join(files.select(F.col("path").alias("target")), "target")
-    return matching.first_step(present, ["path", "specifier", "ord"], "step").select("path", "specifier", "ord", "target").distinct()
+    found = matching.first_step(present, ["path", "specifier", "ord"], "step").select("path", "specifier", "ord", "target").distinct()
+    if not any(d.outputs for d in resolver.layout.declared.values()):
+        return found
+    found = cut(found)
+    return found.unionByName(built(requests.select("path", "specifier", "ord").join(found, ["path", "specifier"], "left_anti"), files, resolver))
+
+
+def listed(files: DataFrame) -> DataFrame:
+    """The files that globs of the configuration are about: none installed, none hidden."""
+    return files.where(~F.col("path").rlike(r"(^|/)(node_modules|\.[^/]*)/")).select("path")
+
+
+def built(missing: DataFrame, files: DataFrame, resolver: Resolver) -> DataFrame:
+    """Relative requests without a file that name a declared build output, to the files that it is
+    built from. What a request asks for is a pair of patterns; there are as many different ones as
+    sets of declared outputs, and each meets the tree's files once."""
+    sent = missing.sparkSession.sparkContext.broadcast(resolver)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, s, o, *x) for p, s, o in zip(*(batch.column(c).to_pylist() for c in ("path", "specifier", "ord")), strict=True) if (x := sent.value.output(p, s))]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["path", "specifier", "ord", "takes", "leaves"])
+
+    asked = cut(missing.mapInArrow(run, "path string, specifier string, ord long, takes string, leaves string"))
+    sets = F.broadcast(asked.select("takes", "leaves").distinct())
+    takes, leaves = F.rlike("target", "takes"), (F.col("leaves") != "") & F.rlike("target", "leaves")
+    made = listed(files).withColumnRenamed("path", "target").join(sets, takes & ~leaves)
+    return asked.join(made, ["takes", "leaves"]).select("path", "specifier", "ord", "target").distinct()
 
 
 def layout_before(layout: Layout, change: Change, earlier: dict[str, str]) -> Layout:
@@ -149,6 +184,18 @@ def changed_files(files: DataFrame, change: Change, include_types: bool = False)
     return whole.unionByName(plain).unionByName(parts.mapInArrow(run, "path string")).distinct()
 
 
+def unchanged(files: DataFrame, before: DataFrame, include_types: bool = False) -> DataFrame:
+    """(path) of the sources that differ from their earlier versions in nothing that counts."""
+    both = files.where(is_source(F.col("path"))).join(before.select("path", F.col("content").alias("was")), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("path", "content", "was")), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, now, was in rows if same_module(was, now, p, include_types)], pa.string())], ["path"])
+
+    return both.select("path", "content", "was").mapInArrow(run, "path string")
+
+
 @dataclass
 class Prepared:
     """What both granularities need: configuration, requests, changed files and packages."""
@@ -162,6 +209,13 @@ class Prepared:
     packages: DataFrame
     every: bool
     groups: dict[tuple, list[str]]
+    before: DataFrame | None = None
+
+    @property
+    def nothing(self) -> bool:
+        """Whether the change alters no file, package or import."""
+        moving = self.change.gone or self.change.added or self.earlier or _unread_configs(self.change, self.earlier)
+        return not moving and not self.every and self.changed.isEmpty() and self.packages.isEmpty()
 
     def for_bundler(self, bundler: tuple) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         """(resolved, moved (path, specifier), edges (path, specifier, ord, target), marked files and packages)."""
@@ -182,7 +236,7 @@ class Prepared:
         return now, moved, edges, redirected.select(F.col("target").alias("path")).distinct()
 
 
-def prepared(files: DataFrame, change: Change, anchors: list[str], config_name: str, include_types: bool, earlier: dict[str, str]) -> Prepared:
+def prepared(files: DataFrame, change: Change, anchors: list[str], config_name: str, include_types: bool, earlier: dict[str, str], before: DataFrame | None = None) -> Prepared:
     spark = files.sparkSession
     layout, errors = read_layout(files, config_name)
     for anchor in anchors:
@@ -193,24 +247,29 @@ def prepared(files: DataFrame, change: Change, anchors: list[str], config_name:
     if missing := [a for a in anchors if a not in known]:
         raise ValueError(f"no such anchor: {', '.join(missing)}")
     requests = cut(scan_files(files.where(is_source(F.col("path")) | is_style(F.col("path"))), include_types))
-    changed = cut(changed_files(files, change, include_types))
+    changed = changed_files(files, change, include_types)
+    if before is not None:
+        changed = changed.join(unchanged(files, before, include_types), "path", "left_anti")
+    changed = cut(changed)
     texts = files.where(F.element_at(F.split("path", "/"), -1).isin("pnpm-lock.yaml", "package-lock.json")).select("path", F.decode("content", "UTF-8").alias("text"))
     packages = cut(changed_packages(texts, change.rows(spark)))
     groups: dict[tuple, list[str]] = {}
     for a in anchors:
-        b = bundler_of(layout, a)
-        inline = bool(nearest(layout.chain(posixpath.dirname(a)), "inline_requires", False))
-        groups.setdefault((b.conditions, b.main_fields, inline), []).append(a)
-    return Prepared(files, change, layout, earlier, requests, changed, packages, packages.where("package is null").count() > 0, groups)
+        groups.setdefault(bundler_key(layout, a), []).append(a)
+    return Prepared(files, change, layout, earlier, requests, changed, packages, packages.where("package is null").count() > 0, groups, before)
 
 
-def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None) -> DataFrame:
+def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None, before: DataFrame | None = None, only: str | None = None) -> DataFrame:
     """(anchor, affected, direction, changed, path, unresolved) for each anchor; files: (path, content).
 
-    ``earlier`` has texts of configuration files before the change, as far as they are known.
-    Anchors whose bundlers differ are searched on edge tables of their own.
+    ``earlier`` has texts of configuration files before the change, as far as they are known;
+    ``before`` (path, content) has changed files as they were: those that differ in nothing that
+    counts are left out. ``only`` is one of the directions. Anchors whose bundlers differ are
+    searched on edge tables of their own.
     """
-    p = prepared(files.select("path", "content"), change, anchors, config_name, include_types, earlier or {})
+    p = prepared(files.select("path", "content"), change, anchors, config_name, include_types, earlier or {}, before)
+    if p.nothing:
+        return nothing_reached(files.sparkSession, anchors)
     out = None
     for bundler, own in p.groups.items():
         _, moved, edges, packages = p.for_bundler(bundler)
@@ -218,12 +277,18 @@ def analyse(files: DataFrame, change: Change, anchors: list[str], config_name: s
         marks = p.changed.select("path").unionByName(moved.select("path")).unionByName(packages).distinct()
         rank = F.dense_rank().over(matching.Window.partitionBy("path").orderBy("ord", "target"))
         edges = cut(edges.select(F.col("path").alias("src"), F.col("target").alias("dst"), rank.cast("long").alias("ord")))
-        found, seen = answers(edges, own, cut(marks.select(F.col("path").alias("node"))), p.changed)
+        found, seen = answers(edges, own, cut(marks.select(F.col("path").alias("node"))), p.changed, only)
         found = with_unresolved(found, seen, unresolved(p, resolved))
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def nothing_reached(spark: SparkSession, anchors: list[str]) -> DataFrame:
+    """The answers to a change of nothing: nothing was searched, nothing asked for."""
+    kind = "anchor string, affected boolean, direction string, changed string, path array<string>, unresolved array<struct<specifier:string,kind:string,in_repo:boolean,from:array<string>>>"
+    return spark.createDataFrame([(a, False, None, None, None, []) for a in anchors], kind)
+
+
 def _governed(requests: DataFrame, layout: Layout, unread: set[str]) -> DataFrame:
     """Files whose imports a changed configuration of unknown earlier text decides about, or may
     have decided about: everything below it, since what it excluded then is not known."""
@@ -243,29 +308,48 @@ def opened(visited: DataFrame, hits: DataFrame) -> DataFrame:
     return visited.join(hits.select("anchor", F.col("at").alias("hit")), "anchor", "left").where("hit is null or at < hit")
 
 
-def answers(edges: DataFrame, anchors: list[str], marks: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Downstream for every anchor; upstream from changed files for those that nothing reached.
+def _upstream(edges: DataFrame, left: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchor, direction, path) of the anchors that changed files reach, and (anchor, path) of what
+    was asked for them. Changed files are tried in order; the first that arrives answers.
+
+    The first for all anchors at once is the least label that arrives, and files that an earlier
+    try has opened are those of a lesser label. Only the files that do answer an anchor, at most
+    as many as there are anchors, are searched in order of the queue.
+    """
+    labels = closure.least_sources(edges, changed.select(F.col("path").alias("node")))
+    first = cut(left.join(labels, F.col("anchor") == F.col("node")).select("anchor", F.col("source").alias("root")))
+    roots = first.select(F.col("root").alias("anchor"), F.col("root").alias("node"), F.lit(0).cast("long").alias("pos")).distinct()
+    reached, _ = closure.search(edges, roots, edges.select(F.col("src").alias("node")).limit(0), complete=True)
+    reached = cut(reached.withColumnRenamed("anchor", "root"))
+    met = cut(first.join(reached.select("root", F.col("node").alias("anchor"), "at"), ["root", "anchor"]))
+    before = F.broadcast(left.join(first, "anchor", "left")).join(labels, F.expr("root is null or source < root")).select("anchor", F.col("node").alias("path"))
+    own = F.broadcast(met.select("anchor", "root", F.col("at").alias("end"))).join(reached, "root").where("at < end").select("anchor", F.col("node").alias("path"))
+    seen = before.unionByName(own).distinct()
+    if met.isEmpty():
+        return left.select("anchor", F.lit("upstream").alias("direction"), F.array("anchor").alias("path")).limit(0), seen
+    walks = closure.witness(reached.withColumnRenamed("root", "anchor"), met.select(F.col("root").alias("anchor"), F.col("anchor").alias("node"), "at").distinct())
+    return walks.select(F.element_at("path", -1).alias("anchor"), F.lit("upstream").alias("direction"), "path").distinct().join(left, "anchor"), seen
+
+
+def answers(edges: DataFrame, anchors: list[str], marks: DataFrame, changed: DataFrame, direction: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Downstream for every anchor; upstream from changed files for those that nothing reached;
+    or one of these directions only.
 
     Also (anchor, path) of the files whose imports each anchor's searches have asked for.
     """
     spark = edges.sparkSession
     starts = spark.createDataFrame([(a, a, 0) for a in anchors], "anchor string, node string, pos long")
-    visited, hits = closure.search(edges, starts, marks)
-    down = closure.witness(visited, hits).select("anchor", F.lit("downstream").alias("direction"), "path")
-    seen = opened(visited, hits).select("anchor", F.col("node").alias("path"))
-    left = cut(starts.select("anchor").join(hits, "anchor", "left_anti"))
-    roots = changed.select(F.col("path").alias("anchor"), F.col("path").alias("node"), F.lit(0).cast("long").alias("pos"))
-    if not left.isEmpty() and not roots.isEmpty():
-        reached, _ = closure.search(edges, roots, spark.createDataFrame([], "node string"), complete=True)
-        reached = cut(reached.withColumnRenamed("anchor", "root"))
-        met = reached.select("root", F.col("node").alias("anchor"), "at").join(left, "anchor")
-        first = cut(met.groupBy("anchor").agg(F.min(F.struct("root", "at")).alias("m")).select("anchor", "m.root", "m.at"))
-        # roots are tried in order: what those up to the first that arrives have opened, counts
-        tried = left.join(first, "anchor", "left").join(reached.select(F.col("root").alias("r"), F.col("node").alias("path"), F.col("at").alias("place")), F.expr("root is null or r < root or r = root and place < at"))
-        seen = seen.unionByName(tried.select("anchor", "path"))
-        if not first.isEmpty():
-            walks = closure.witness(reached.withColumnRenamed("root", "anchor"), first.select(F.col("root").alias("anchor"), F.col("anchor").alias("node"), "at"))
-            down = down.unionByName(walks.select(F.element_at("path", -1).alias("anchor"), F.lit("upstream").alias("direction"), "path").distinct())
+    if direction == "upstream":
+        down = spark.createDataFrame([], "anchor string, direction string, path array<string>")
+        seen, left = spark.createDataFrame([], "anchor string, path string"), starts.select("anchor")
+    else:
+        visited, hits = closure.search(edges, starts, marks)
+        down = closure.witness(visited, hits).select("anchor", F.lit("downstream").alias("direction"), "path")
+        seen = opened(visited, hits).select("anchor", F.col("node").alias("path"))
+        left = cut(starts.select("anchor").join(hits, "anchor", "left_anti"))
+    if direction != "downstream" and not left.isEmpty() and not changed.isEmpty():
+        walks, tried = _upstream(edges, left, changed)
+        down, seen = down.unionByName(walks), seen.unionByName(tried)
     found = cut(down)
     shown = F.transform("path", lambda p: F.concat(F.lit("File("), p, F.lit(")")))
     end = F.when(F.col("direction") == "downstream", F.element_at("path", -1)).otherwise(F.element_at("path", 1))
@@ -318,7 +402,7 @@ def unresolved(p: Prepared, resolved: DataFrame) -> DataFrame:
 def _kind(resolver: Resolver, path: str, specifier: str, name: str, there: bool, own: set) -> int | None:
     layout, here = resolver.layout, posixpath.dirname(path)
     style = path.rpartition(".")[2] in STYLES
-    if not style and name in BUILTINS:
+    if not style and (name in BUILTINS or resolver.output(path, specifier)):
         return None
     homes = [layout.packages.get(joined(d, "node_modules/" + name)) for d in above(here)] if name else []
     if not style and any(h and (h.get("types") or h.get("typings")) and not any(h.get(k) for k in ("main", "module", "exports")) for h in homes):

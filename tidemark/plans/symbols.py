@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,16 +29,18 @@ from tidemark.functions.types import erased
 from tidemark.operators import closure, intervals
 from tidemark.plans import analyse as files_plan
 from tidemark.shared import cut
+from tidemark.sources.compare import compare
 from tidemark.sources.config import CONFIG, nearest
 from tidemark.sources.modules import PURE, read_module
 
 USE = "struct<source: int, name: string>"
 FACTS = (
     "path string, fine boolean, sources array<string>, bare array<int>, stars array<int>, "
-    f"decls array<struct<id: int, name: string, start: int, end: int, refs: array<int>, imports: array<{USE}>, writers: array<int>>>, "
+    f"decls array<struct<id: int, name: string, start: int, end: int, refs: array<int>, imports: array<{USE}>, writers: array<int>, written_by: array<int>>>, "
     "exports array<struct<name: string, kind: string, target: int, other: string, start: int, end: int>>, "
     f"init_decls array<int>, init_imports array<{USE}>, reads_on_load array<int>, import_spans array<struct<start: int, end: int, users: array<int>>>, "
-    "runs array<struct<low: int, high: int, quiet: boolean>>"
+    "runs array<struct<low: int, high: int, quiet: boolean>>, "
+    "base struct<decls: array<int>, exports: array<string>, init: boolean, whole: boolean, lost: array<string>>"
 )
 
 
@@ -49,17 +52,25 @@ def pure_calls(layout, path: str) -> frozenset[tuple[str, str]]:
     return known | {(s, n) for d in chain for e in d.pure for s, _, n in [e.rpartition("#")] if s and n}
 
 
-def module_facts(files: DataFrame, runs: DataFrame, include_types: bool, layout) -> DataFrame:
+def module_facts(files: DataFrame, runs: DataFrame, include_types: bool, layout, before: DataFrame | None = None) -> DataFrame:
     """(path, content) and changed runs (path, runs: lines) to one row for each source file; runs
-    come back as ranges of characters."""
+    come back as ranges of characters. ``base`` says what differs from an earlier version, where
+    ``before`` (path, content) has one and both can be taken apart."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(FACTS))
     sent = files.sparkSession.sparkContext.broadcast(layout)
 
-    def one(path: str, content: bytes | None, lines: list | None) -> dict:
-        empty = {f.name: [] for f in schema} | {"path": path, "fine": False, "runs": None if lines is None else []}
+    def compared(was: bytes | None, text: str, path: str) -> dict | None:
+        try:
+            found = compare(was.decode(), text, include_types, pure_calls(sent.value, path)) if was is not None else None
+        except UnicodeDecodeError:
+            return None
+        return found and {"decls": sorted(found.decls), "exports": sorted(found.exports), "init": found.init, "whole": found.whole, "lost": found.lost}
+
+    def one(path: str, content: bytes | None, lines: list | None, was: bytes | None) -> dict:
+        empty = {f.name: [] for f in schema} | {"path": path, "fine": False, "runs": None if lines is None else [], "base": None}
         try:
             text = (content or b"").decode()
         except UnicodeDecodeError:
@@ -81,19 +92,21 @@ def module_facts(files: DataFrame, runs: DataFrame, include_types: bool, layout)
         use = lambda u: {"source": u.source, "name": u.name}
         return {
             "path": path, "fine": True, "sources": m.sources, "bare": sorted(m.bare), "stars": m.stars,
-            "decls": [{"id": i, "name": d.names[0], "start": d.start, "end": d.end, "refs": d.refs, "imports": [use(u) for u in d.imports], "writers": writers.get(i, [])} for i, d in enumerate(m.decls)],
+            "decls": [{"id": i, "name": d.names[0], "start": d.start, "end": d.end, "refs": d.refs, "imports": [use(u) for u in d.imports], "writers": writers.get(i, []), "written_by": d.written_by} for i, d in enumerate(m.decls)],
             "exports": [{"name": n, "kind": k, "target": t, "other": o, "start": a, "end": b} for n, k, t, o, a, b in m.exports],
             "init_decls": sorted(m.init_decls), "init_imports": [use(u) for u in m.init_imports],
             "reads_on_load": m.reads_on_load, "import_spans": [{"start": a, "end": b, "users": u} for a, b, u in m.import_spans],
-            "runs": ranges if lines is not None else None,
+            "runs": ranges if lines is not None else None, "base": compared(was, text, path),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pylist([one(r["path"], r["content"], r["runs"]) for r in batch.to_pylist()], schema)
+            yield pa.RecordBatch.from_pylist([one(r["path"], r["content"], r["runs"], r["was"]) for r in batch.to_pylist()], schema)
 
     source = files.where(is_source(F.col("path"))).select("path", "content")
-    return source.join(runs, "path", "left").select("path", "content", "runs").mapInArrow(run, FACTS)
+    told = source.join(runs, "path", "left")
+    told = told.withColumn("was", F.lit(None).cast("binary")) if before is None else told.join(before.select("path", F.col("content").alias("was")), "path", "left")
+    return told.select("path", "content", "runs", "was").mapInArrow(run, FACTS)
 
 
 def node(kind: str, path: Column | str, name: Column | str | None = None) -> Column:
@@ -139,7 +152,11 @@ class SymbolGraph:
         src = fine.select("path", F.posexplode("sources").alias("source", "specifier"))
         self.placed = cut(src.join(targets, ["path", "specifier"], "left").select("path", "source", "target"))
         self.decls = cut(fine.select("path", F.explode("decls").alias("d")).select("path", "d.*"))
-        self.exports = cut(fine.select("path", F.posexplode("exports").alias("pos", "e")).select("path", "pos", "e.*"))
+        exports = fine.select("path", F.posexplode("exports").alias("pos", "e")).select("path", "pos", "e.*")
+        # a name that is exported no more stays a node, so that who asks for it meets the change
+        lost = fine.where("base is not null").select("path", F.posexplode("base.lost").alias("pos", "name")).withColumn("pos", F.col("pos") + 50_000)
+        lost = lost.select("path", "pos", "name", F.lit("lost").alias("kind"), F.lit(-1).alias("target"), F.lit(None).cast("string").alias("other"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+        self.exports = cut(exports.unionByName(lost))
         self.is_fine = self.fine.select(F.col("path").alias("g"), F.lit(True).alias("g_fine"))
         self.leaf_edges, self.layout = leaf_edges, layout
         stars = fine.select("path", F.explode("stars").alias("source")).join(self.placed, ["path", "source"], "left").select("path", "target")
@@ -238,8 +255,10 @@ class SymbolGraph:
         local = self.exports.where("kind = 'local'").select("path", node("Export", "path", "name").alias("src"), F.col("target").alias("t"))
         parts.append(to_decls(local.withColumn("ord", F.lit(0))))
         writers = local.join(self.decls.select("path", F.col("id").alias("t"), "writers"), ["path", "t"]).select("path", "src", F.posexplode("writers").alias("ord", "t"))
-        parts.append(to_decls(writers.withColumn("ord", F.col("ord") + 10_000_000)))
-        again = self.exports.where("kind <> 'local'").select("path", node("Export", "path", "name").alias("src"), zero.alias("ord"), F.col("target").alias("source"), F.expr("if(kind = 'all', null, other)").alias("name"))
+        written = [to_decls(writers.withColumn("ord", F.col("ord") + 10_000_000))]
+        unnamed = self.decls.select("path", decl.alias("src"), F.posexplode("written_by").alias("ord", "t"))
+        written.append(to_decls(unnamed.withColumn("ord", F.col("ord") + 10_000_000)))
+        again = self.exports.where("kind in ('reexport', 'all')").select("path", node("Export", "path", "name").alias("src"), zero.alias("ord"), F.col("target").alias("source"), F.expr("if(kind = 'all', null, other)").alias("name"))
         parts.append(self._used(again))
         parts.append(self._star_exports())
         if self.inline:
@@ -262,11 +281,30 @@ class SymbolGraph:
             asked = asked.where("bare")
         parts.append(asked.where(is_source(F.col("target"))).select(init.alias("src"), node("ModuleInit", "target").alias("dst"), order.alias("ord"), zero.alias("sub")))
         parts.append(asked.where(~is_source(F.col("target")) & F.col("bare") & F.coalesce("target_runs", F.lit(True))).select(init.alias("src"), node("File", "target").alias("dst"), order.alias("ord"), zero.alias("sub")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+        out = union(parts).withColumn("writer", F.lit(False)).unionByName(union(written).withColumn("writer", F.lit(True)))
         rank = F.row_number().over(Window.partitionBy("src").orderBy("ord", "sub", "dst"))
-        return out.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("ord", "sub")).alias("o")).select("src", "dst", "o.*").withColumn("ord", rank.cast("long")).select("src", "dst", "ord")
+        out = out.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("ord", "sub")).alias("o"), F.min("writer").alias("writer"))
+        return out.select("src", "dst", "o.*", "writer").withColumn("ord", rank.cast("long")).select("src", "dst", "ord", "writer")
+
+    def running(self, edges: DataFrame, entries: list[str], gaps: DataFrame) -> DataFrame | None:
+        """(node) of the declarations that a build from ``entries`` can run: a writer changes what
+        others read only where something that is no such edge leads to it. None, and every writer
+        counts, if an entry cannot be read or what is reached asks for a file of the repository
+        that could not be placed. gaps: (path, specifier, kind)."""
+        spark = edges.sparkSession
+        asked = spark.createDataFrame([(e,) for e in entries], "path string")
+        if asked.join(self.facts, "path", "left_semi").count() < len(set(entries)):
+            return None
+        # an entry's own statements run, whatever its package claims
+        own = asked.select("path", node("File", "path").alias("node"))
+        uses = self.facts.where("fine").join(asked, "path", "left_semi").select(node("File", "path").alias("src"), "path", F.posexplode("init_imports").alias("ord", "u")).select("path", "src", F.col("ord").cast("long").alias("ord"), "u.source", "u.name")
+        seeds = own.select("node").unionByName(self._used(uses).select(F.col("dst").alias("node")))
+        seen = cut(closure.reach(edges.where("not writer"), seeds.distinct()).select("node"))
+        paths = seen.select(path_of("node").alias("path")).distinct()
+        if not gaps.where(F.col("kind") < files_plan.IN_REPO).join(paths, "path", "left_semi").isEmpty():
+            return None
+        return seen.where(F.col("node").startswith("Decl(") | F.col("node").startswith("Member("))
 
     def _star_exports(self) -> DataFrame:
         """Names that only stars can provide: to the same name in every star target that could."""
@@ -297,9 +335,15 @@ class SymbolGraph:
 def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph: SymbolGraph) -> DataFrame:
     """Marked nodes: whole files, spans that changed runs meet, neighbours of gaps, moved imports."""
     fine = facts.where("fine")
-    whole = changed.join(fine.where("runs is not null").select("path"), "path", "left_anti").select(node("File", "path").alias("node"))
-    ranges = fine.where("runs is not null").select("path", F.explode("runs").alias("r")).select("path", "r.low", "r.high", "r.quiet").where("not quiet").drop("quiet").distinct()
-    empty = changed.join(fine.where("runs is not null and size(runs) = 0").select("path"), "path", "left_semi").select(node("File", "path").alias("node"))
+    known = changed.join(fine, "path").where("base is not null").select("path", "base.*")
+    whole = changed.join(fine.where("runs is not null or base is not null").select("path"), "path", "left_anti").select(node("File", "path").alias("node"))
+    whole = whole.unionByName(known.where("whole").select(node("File", "path").alias("node")))
+    by_id = graph.decls.select("path", F.col("id").alias("d"), node("Decl", "path", "name").alias("node"))
+    told = known.select("path", F.explode("decls").alias("d")).join(by_id, ["path", "d"]).select("node")
+    names = known.select("path", F.explode(F.concat("exports", "lost")).alias("name")).select(node("Export", "path", "name").alias("node"))
+    told = told.unionByName(names).unionByName(known.where("init").select(node("ModuleInit", "path").alias("node")))
+    ranges = fine.where("runs is not null and base is null").select("path", F.explode("runs").alias("r")).select("path", "r.low", "r.high", "r.quiet").where("not quiet").drop("quiet").distinct()
+    empty = changed.join(fine.where("runs is not null and size(runs) = 0 and base is null").select("path"), "path", "left_semi").select(node("File", "path").alias("node"))
     decls = graph.decls.select("path", "start", "end", F.array(node("Decl", "path", "name")).alias("nodes"))
     exports = graph.exports.select("path", "start", "end", F.array(node("Export", "path", "name")).alias("nodes"))
     names = graph.decls.select("path", F.col("id").alias("u"), node("Decl", "path", "name").alias("n"))
@@ -310,40 +354,43 @@ def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph:
     gaps = ranges.join(met.select("path", "low", "high").distinct(), ["path", "low", "high"], "left_anti")
     beside = gaps.join(decls, "path", "left").groupBy("path", "low", "high").agg(F.max_by("nodes", F.when(F.col("end") <= F.col("low"), F.col("end"))).alias("before"), F.min_by("nodes", F.when(F.col("start") >= F.col("high"), F.col("start"))).alias("after"))
     beside = beside.select(F.explode(F.concat(F.coalesce("before", F.array().cast("array<string>")), F.coalesce("after", F.array().cast("array<string>")), F.array(node("ModuleInit", "path")))).alias("node"))
-    out = whole.unionByName(empty).unionByName(met.select(F.explode("nodes").alias("node"))).unionByName(beside)
+    out = whole.unionByName(empty).unionByName(told).unionByName(met.select(F.explode("nodes").alias("node"))).unionByName(beside)
     # what reads a moved import, and the initialisation; a moved star makes the whole file new
     src = fine.select("path", F.posexplode("sources").alias("source", "specifier")).join(moved, ["path", "specifier"], "left_semi")
     readers = graph.decls.select("path", "name", F.explode("imports").alias("u")).select("path", "name", "u.source").join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("Decl", "path", "name").alias("node"))
-    again = graph.exports.where("kind <> 'local'").select("path", "name", F.col("target").alias("source")).join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("Export", "path", "name").alias("node"))
+    again = graph.exports.where("kind in ('reexport', 'all')").select("path", "name", F.col("target").alias("source")).join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("Export", "path", "name").alias("node"))
     stars = fine.select("path", F.explode("stars").alias("source")).join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("File", "path").alias("node"))
     rest = moved.join(fine.select("path"), "path", "left_anti").select(node("File", "path").alias("node"))
     return out.unionByName(readers).unionByName(again).unionByName(stars).unionByName(rest).unionByName(src.select(node("ModuleInit", "path").alias("node"))).distinct()
 
 
-def _seen(seen: DataFrame, more: DataFrame, file_edges: DataFrame, left: list[str], changed: DataFrame) -> DataFrame:
-    """What the symbol search visited and, for anchors it did not answer, what the changed files'
-    own searches visited; a file search downstream from the anchor was never made."""
-    spark = seen.sparkSession
-    own, _ = closure.search(file_edges, spark.createDataFrame([(a, a, 0) for a in left], "anchor string, node string, pos long"), spark.createDataFrame([], "node string"), complete=True)
-    only_up = more.join(own.select("anchor", F.col("node").alias("path")), ["anchor", "path"], "left_anti")
-    return seen.unionByName(only_up).distinct()
-
+def analyse_symbols(files: DataFrame, change: files_plan.Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None, before: DataFrame | None = None, only: str | None = None, entries: list[str] | None = None) -> DataFrame:
+    """As files_plan.analyse, over symbols; upstream stays over files.
 
-def analyse_symbols(files: DataFrame, change: files_plan.Change, anchors: list[str], config_name: str = CONFIG, include_types: bool = False, earlier: dict[str, str] | None = None) -> DataFrame:
-    """As files_plan.analyse, over symbols; upstream stays over files."""
+    ``before`` (path, content) has changed files as they were: they are compared statement by
+    statement, which says more than lines do. ``entries`` are modules that the build starts from:
+    who writes to a module's state then counts only where such an entry can run it.
+    """
     spark = files.sparkSession
     files = files.select("path", "content")
     earlier = earlier or {}
-    p = files_plan.prepared(files, change, anchors, config_name, include_types, earlier)
+    p = files_plan.prepared(files, change, anchors, config_name, include_types, earlier, before)
+    if p.nothing:
+        return files_plan.nothing_reached(spark, anchors)
     lines = change.rows(spark).where("start is not null").join(p.changed, "path", "left_semi").groupBy("path").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("length").cast("int").alias("length"))).alias("runs"))
     opaque = change.rows(spark).where("change = 'opaque'").select("path").distinct()
-    facts = cut(module_facts(files, lines.join(opaque, "path", "left_anti"), include_types, p.layout))
+    facts = cut(module_facts(files, lines.join(opaque, "path", "left_anti"), include_types, p.layout, before))
     out = None
     for bundler, own in p.groups.items():
         now, moved, edges, marked_files = p.for_bundler(bundler)
         first = edges.join(edges.groupBy("path", "specifier").agg(F.min("target").alias("target")), ["path", "specifier", "target"], "left_semi")
         graph = SymbolGraph(facts, first.select("path", "specifier", "target").distinct(), p.layout, edges.select("path", "ord", "target"), bundler[2])
         symbol_edges = cut(graph.edges())
+        gaps = files_plan.unresolved(p, edges)
+        from_here = [e for e in entries or [] if files_plan.bundler_key(p.layout, e) == bundler]
+        if from_here and (running := graph.running(symbol_edges, from_here, gaps)) is not None:
+            idle = symbol_edges.where("writer").join(running.withColumnRenamed("node", "dst"), "dst", "left_anti")
+            symbol_edges = cut(symbol_edges.join(idle.select("src", "dst"), ["src", "dst"], "left_anti"))
         marks = symbol_marks(facts, p.changed, moved, graph).unionByName(marked_files.select(node("File", "path").alias("node")))
         marks = cut(marks.distinct())
         # a marked file marks its nodes
@@ -351,17 +398,20 @@ def analyse_symbols(files: DataFrame, change: files_plan.Change, anchors: list[s
         umbrella = nodes.withColumn("home", node("File", path_of("node"))).join(marks.select(F.col("node").alias("home")), "home", "left_semi").select("node")
         marks = cut(marks.unionByName(umbrella).distinct())
         starts = spark.createDataFrame([(a, f"File({a})", 0) for a in own], "anchor string, node string, pos long")
-        visited, hits = closure.search(symbol_edges, starts, marks)
+        visited, hits = closure.search(symbol_edges, starts if only != "upstream" else starts.limit(0), marks)
         down = cut(closure.witness(visited, hits).select("anchor", F.lit(True).alias("affected"), F.lit("downstream").alias("direction"), path_of(F.element_at("path", -1)).alias("changed"), "path"))
         left = [r["anchor"] for r in starts.select("anchor").join(down, "anchor", "left_anti").collect()]
         rank = F.dense_rank().over(Window.partitionBy("path").orderBy("ord", "target"))
         file_edges = cut(edges.select(F.col("path").alias("src"), F.col("target").alias("dst"), rank.cast("long").alias("ord")))
         seen = visited.select("anchor", path_of("node").alias("path")).distinct()
         found = down
-        if left:
-            others, more = files_plan.answers(file_edges, left, spark.createDataFrame([], "node string"), p.changed)
-            found, seen = found.unionByName(others), _seen(seen, more, file_edges, left, p.changed)
-        found = files_plan.with_unresolved(found, seen, files_plan.unresolved(p, edges))
+        if left and only != "downstream":
+            others, more = files_plan.answers(file_edges, left, spark.createDataFrame([], "node string"), p.changed, "upstream")
+            found, seen = found.unionByName(others), seen.unionByName(more).distinct()
+        elif left:
+            none = spark.createDataFrame([(a, False) for a in left], "anchor string, affected boolean")
+            found = found.unionByName(none, allowMissingColumns=True)
+        found = files_plan.with_unresolved(found, seen, gaps)
         out = found if out is None else out.unionByName(found)
     return out
 

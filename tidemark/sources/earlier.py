@@ -1,8 +1,9 @@
 """Earlier versions of files, from a git repository or from a table.
 
-A revision is pinned to a commit first; an unknown one is an error, never an empty answer. Each
-partition of paths is read by one ``git cat-file --batch`` child; a path the commit does not have
-gives a null content. The repository has to be readable where the tasks run.
+A revision is pinned to a commit first; an unknown one is an error, never an empty answer. Paths
+are read by ``git cat-file --batch`` children, ``AT_ONCE`` paths each, so that few contents are
+held at a time; a path the commit does not have gives a null content. The repository has to be
+readable where the tasks run; paths are relative to the folder given, inside the repository.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Paths that one child is asked for.
+AT_ONCE = 200
+
+
 class UnknownRevision(ValueError):
     pass
 
@@ -26,6 +31,12 @@ def pin(repository: str, revision: str) -> str:
     return done.stdout.strip()
 
 
+def prefix(folder: str) -> str:
+    """Where a folder lies in its repository, with a slash at the end; empty for the top."""
+    done = subprocess.run(["git", "-C", folder, "rev-parse", "--show-prefix"], capture_output=True, text=True, check=True)
+    return done.stdout.rstrip("\n")
+
+
 def _blobs(repository: str, commit: str, paths: list[str]) -> list[bytes | None]:
     """Contents in the order of the paths, over one child. Names that hold a line end are asked
     for one by one."""
@@ -53,12 +64,15 @@ def _blobs(repository: str, commit: str, paths: list[str]) -> list[bytes | None]
 def git_files(paths: DataFrame, repository: str, revision: str) -> DataFrame:
     """(path) to (path, content) as the revision has them."""
     commit = pin(repository, revision)
+    below = prefix(repository)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("path").to_pylist()
-            contents = iter(_blobs(repository, commit, [n for n in names if n]))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([next(contents) if n else None for n in names], pa.binary())], ["path", "content"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                names = part.column("path").to_pylist()
+                contents = iter(_blobs(repository, commit, [below + n for n in names if n]))
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array([next(contents) if n else None for n in names], pa.binary())], ["path", "content"])
 
     return paths.select("path").mapInArrow(run, "path string, content binary")
 

@@ -63,6 +63,33 @@ class Decl:
     refs: list[int] = field(default_factory=list)
     imports: list[Use] = field(default_factory=list)
     writes: list[int] = field(default_factory=list)
+    written_by: list[int] = field(default_factory=list)  # who may write to what it uses
+
+
+@dataclass
+class Piece:
+    """One top-level statement: what it declares, exports and imports."""
+
+    tokens: list[Token]
+    key: tuple
+    decls: list[int]
+    exports: list[str]
+    imported: list[str]
+    sources: list[int]
+    star: bool
+
+    @property
+    def start(self) -> int:
+        return self.tokens[0].start
+
+    @property
+    def end(self) -> int:
+        return self.tokens[-1].end
+
+    @property
+    def bare(self) -> bool:
+        """Whether it only runs: it declares, exports and imports nothing."""
+        return self.key[0] == "runs"
 
 
 @dataclass
@@ -191,6 +218,7 @@ class _Reader:
         self.bodies: list[tuple[int | None, list[Token]]] = []
         self.mentions = 0
         self.assigned_exports: list[tuple[str, str, int, str | None, int, int]] = []
+        self.pieces: list[Piece] = []
 
     def source(self, spec: str) -> int:
         if spec not in self.m.sources:
@@ -204,7 +232,7 @@ class _Reader:
             raise Opaque("shape")
         self.toks = toks
         for s in statements(toks):
-            self.statement(s)
+            self.piece(s)
         # every mention of the exports object has to be one of the plain assignments
         mentions = sum(t.kind == "name" and t.text in ("exports", "module") for t in toks)
         if mentions != self.mentions or mentions and (self.m.exports or self.pending or self.m.stars or self.import_statements):
@@ -227,6 +255,30 @@ class _Reader:
 
     # --- statements
 
+    def piece(self, s: list[Token]) -> None:
+        """Read a statement and note what came of it."""
+        m = self.m
+        marks = [len(x) for x in (m.decls, m.exports, self.pending, self.assigned_exports, self.import_statements, m.stars)]
+        bare = set(m.bare)
+        self.statement(s)
+        decls = list(range(marks[0], len(m.decls)))
+        exports = [e[0] for e in m.exports[marks[1] :]] + [e[0] for e in self.pending[marks[2] :]] + [e[0] for e in self.assigned_exports[marks[3] :]]
+        imported = [n for i in self.import_statements[marks[4] :] for n in i[2]]
+        star = len(m.stars) > marks[5]
+        w = [t.text for t in s]
+        asked = w[0] == "import" and w[1:2] not in (["("], ["."]) or w[0] == "export" and "from" in w and not decls
+        where = next((t.text for t in reversed(s) if t.kind == "string"), "") if asked else ""
+        if decls:
+            key = ("declares", *[n for d in decls for n in m.decls[d].names])
+        elif asked:
+            key = (w[0], "star" if star else "names", where)
+        elif exports:
+            key = ("exports",)
+        else:
+            key = ("runs",)
+        sources = [m.sources.index(where[1:-1])] if asked and where[1:-1] in m.sources else []
+        self.pieces.append(Piece(s, key, decls, exports, imported, sources if sources or not m.bare - bare else sorted(m.bare - bare), star))
+
     def statement(self, s: list[Token]) -> None:
         w = [t.text for t in s]
         if w[-1] == ";":
@@ -606,8 +658,8 @@ class _Reader:
         for o, ws in self.writers.items():
             for u in readers.get(o, []):
                 for w in ws:
-                    if w != u and w not in m.decls[u].refs:
-                        m.decls[u].refs.append(w)
+                    if w != u and w not in m.decls[u].refs and w not in m.decls[u].written_by:
+                        m.decls[u].written_by.append(w)
         # values that read an import as they load, themselves or through what they use
         reading = {i for i, d in enumerate(m.decls) if d.imports}
         while more := {i for i, d in enumerate(m.decls) if i not in reading and reading & set(d.refs)}:
@@ -615,18 +667,26 @@ class _Reader:
         m.reads_on_load = sorted(i for i in reading if not self.late[i])
         grown = set(m.init_decls)
         while grown:
-            new = {r for d in grown for r in m.decls[d].refs} - m.init_decls
+            new = {r for d in grown for r in (*m.decls[d].refs, *m.decls[d].written_by)} - m.init_decls
             m.init_decls |= new
             grown = new
 
 
+def read_pieces(text: str, include_types: bool = False, pure: frozenset[tuple[str, str]] = PURE) -> tuple[_Reader, str] | None:
+    """The reader after reading, with the text it read; None if the module must stay one unit."""
+    shown = text if include_types else erased(text)
+    try:
+        reader = _Reader(shown, pure)
+        reader.read()
+        return reader, shown
+    except (Opaque, IndexError, ValueError, KeyError, StopIteration, RecursionError):
+        return None
+
+
 def read_module(text: str, include_types: bool = False, pure: frozenset[tuple[str, str]] = PURE) -> tuple[Module, dict[int, list[int]]] | None:
     """The module and, by declaration, who may write to it; None if it must stay one unit.
 
     ``pure``: (source, name) of calls that only make a value.
     """
-    try:
-        reader = _Reader(text if include_types else erased(text), pure)
-        return reader.read(), reader.writers
-    except (Opaque, IndexError, ValueError, KeyError, StopIteration, RecursionError):
-        return None
+    read = read_pieces(text, include_types, pure)
+    return (read[0].m, read[0].writers) if read else None
