@@ -20,6 +20,21 @@ TREE = {
 ANCHORS = ["src/Page.tsx", "src/Other.tsx", "src/Inc.tsx", "src/Version.tsx"]
 
 
+API = """export const api = {
+  a: () => 1,
+  b() {
+    return 2;
+  },
+  self() { return this.b; },
+};
+"""
+MEMBERS = {
+    "src/api.ts": API,
+    "src/Page.tsx": 'import { api } from "./api";\nexport const Page = () => api.a();\n',
+    "src/Other.tsx": 'import { api } from "./api";\nexport const Other = () => api.b();\n',
+    "src/Inc.tsx": 'import { api } from "./api";\nexport const Inc = () => show(api);\n',
+    "src/Version.tsx": 'import { api } from "./api";\nexport const Version = () => api.self();\n',
+}
 CASES = {
     # name: (files besides TREE, edited file, old, new)
     "helper": ({}, "src/lib/a.ts", "=> 1", "=> 2"),
@@ -33,6 +48,10 @@ CASES = {
     "removed": ({}, "src/lib/a.ts", "export const used = () => helper();\n", ""),
     "opaque": ({"src/lib/b.ts": "const z = 1;\nmodule.exports = { b: z };\n"}, "src/lib/b.ts", "z = 1", "z = 2"),
     "nothing": ({}, "src/lib/a.ts", "= 3", "= 3"),
+    "member": (MEMBERS, "src/api.ts", "() => 1", "() => 5"),
+    "gone member": (MEMBERS, "src/api.ts", "  a: () => 1,\n", ""),
+    "mutated": (MEMBERS | {"src/api.ts": API + "api.a = other;\n"}, "src/api.ts", "return 2", "return 3"),
+    "asked": ({"src/Page.tsx": 'export const Page = () => require("./lib").used();\nexport const more = require("./lib").unused;\n', "src/Other.tsx": 'export const Other = async () => (await import("./lib/b")).b;\n'}, "src/lib/b.ts", "= 2", "= 4"),
 }
 
 
@@ -56,6 +75,13 @@ def test_symbols(spark):
     assert list(got["renamed"]) == ["src/Other.tsx"] and list(got["shared"]) == ["src/Inc.tsx"] and list(got["some"]) == ["src/Version.tsx"]
     assert got["boot"] == {"src/Version.tsx": ["File(src/Version.tsx)", "ModuleInit(src/Version.tsx)", "ModuleInit(src/boot.ts)", "Decl(src/boot.ts, client)"]}
     assert "src/Page.tsx" in got["removed"] and "src/Other.tsx" in got["opaque"]
+    # one member's users, who hands on the object, and whoever a member that reads its object serves
+    assert set(got["member"]) == {"src/Page.tsx", "src/Inc.tsx", "src/Version.tsx"}
+    assert got["member"]["src/Page.tsx"] == ["File(src/Page.tsx)", "Decl(src/Page.tsx, Page)", "Member(src/api.ts, api.a)"]
+    assert {"src/Page.tsx", "src/Inc.tsx"} <= set(got["gone member"]) and set(got["mutated"]) == set(ANCHORS)
+    # a call gets the module as its object, so that all of it counts; a name that is read is one export
+    assert set(got["asked"]) == {"src/Page.tsx", "src/Other.tsx"}
+    assert got["asked"]["src/Other.tsx"][-2:] == ["Export(src/lib/b.ts, b)", "Decl(src/lib/b.ts, b)"] or got["asked"]["src/Other.tsx"][-1] == "Export(src/lib/b.ts, b)"
 
 
 @pytest.mark.skipif(not os.path.isdir(base.GOLDEN), reason="no golden cases")

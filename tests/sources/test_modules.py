@@ -64,3 +64,47 @@ def test_commonjs_tables():
 def test_jsx_text_hides_nothing():
     f = facts("const a = 1\nconst b = () => 2\nexport const P = () => <p>Don't {a} isn't</p>;\nexport const Q = () => <B x={b} /> || </B>;\n")
     assert "a" in f["refs"]["P"] and "b" in f["refs"]["Q"]
+
+
+API = """import { x } from "./x";
+const k = 1;
+export const api = {
+  a: () => k,
+  b() { return x.go; },
+  c: { deep: 1 },
+  d,
+  e: () => api.a(),
+  async f() { return this.a; },
+};
+function d() { return 2; }
+export const use = () => api.a() + api.c.deep;
+"""
+
+
+def members(text):
+    m, _ = read_module(text)
+    return m, {x.name: x for x in m.decls[1].members}
+
+
+def test_object_members():
+    m, parts = members(API)
+    assert {n: x.receiver for n, x in parts.items()} == {"a": False, "b": False, "c": False, "d": True, "e": False, "f": True}
+    assert parts["a"].refs == [0] and parts["d"].refs == [2] and parts["e"].member_refs == [(1, "a")]
+    assert [(u.name, u.member) for u in parts["b"].imports] == [("x", "go")]
+    assert m.decls[3].member_refs == [(1, "a"), (1, "c")] and m.decls[3].refs == []
+    assert "".join(API[x.start : x.end] for x in m.decls[1].members) == API[API.index("  a:") : API.index("};")]
+
+
+@pytest.mark.parametrize("use", ["api.z", "api", "api.a = 1", "f(api)", "api['a']", "`${api.a}`", "({ ...api })", "delete api.a", "api.a++"])
+def test_objects_used_whole(use):
+    assert not members(API.replace("api.a() + api.c.deep", use))[1]
+
+
+@pytest.mark.parametrize("part", ["...k", "[k]: 1", "get g() { return 1; }", "a: 2", "__proto__: k", "g: start()"])
+def test_objects_that_stay_whole(part):
+    assert not members(API.replace("  d,\n", f"  d,\n  {part},\n"))[1]
+
+
+def test_names_asked_of_calls():
+    m, _ = read_module('const a = require("./x").go;\nconst b = async () => (await import("./y")).go;\nconst c = require("./z");\nconst e = require("./w").f();\nconst g = import("./v");\n')
+    assert [[(m.sources[u.source], u.name) for u in d.imports] for d in m.decls] == [[("./x", "go")], [("./y", "go")], [("./z", None)], [("./w", None)], [("./v", None)]]

@@ -17,7 +17,7 @@ the initialisation.
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -33,14 +33,17 @@ from tidemark.sources.compare import compare
 from tidemark.sources.config import CONFIG, nearest
 from tidemark.sources.modules import PURE, read_module
 
-USE = "struct<source: int, name: string>"
+USE = "struct<source: int, name: string, member: string>"
+PART = "array<struct<o: int, name: string>>"
+MEMBERS = f"array<struct<name: string, start: int, end: int, receiver: boolean, refs: array<int>, imports: array<{USE}>, member_refs: {PART}, written_by: array<int>>>"
 FACTS = (
     "path string, fine boolean, sources array<string>, bare array<int>, stars array<int>, "
-    f"decls array<struct<id: int, name: string, start: int, end: int, refs: array<int>, imports: array<{USE}>, writers: array<int>, written_by: array<int>>>, "
+    f"decls array<struct<id: int, name: string, start: int, end: int, refs: array<int>, imports: array<{USE}>, writers: array<int>, written_by: array<int>, member_refs: {PART}, members: {MEMBERS}>>, "
     "exports array<struct<name: string, kind: string, target: int, other: string, start: int, end: int>>, "
     f"init_decls array<int>, init_imports array<{USE}>, reads_on_load array<int>, import_spans array<struct<start: int, end: int, users: array<int>>>, "
     "runs array<struct<low: int, high: int, quiet: boolean>>, "
-    "base struct<decls: array<int>, exports: array<string>, init: boolean, whole: boolean, lost: array<string>>"
+    "base struct<decls: array<int>, exports: array<string>, init: boolean, whole: boolean, lost: array<string>, "
+    f"members: {PART}>"
 )
 
 
@@ -67,7 +70,7 @@ def module_facts(files: DataFrame, runs: DataFrame, include_types: bool, layout,
             found = compare(was.decode(), text, include_types, pure_calls(sent.value, path)) if was is not None else None
         except UnicodeDecodeError:
             return None
-        return found and {"decls": sorted(found.decls), "exports": sorted(found.exports), "init": found.init, "whole": found.whole, "lost": found.lost}
+        return found and {"decls": sorted(found.decls), "exports": sorted(found.exports), "init": found.init, "whole": found.whole, "lost": found.lost, "members": [{"o": o, "name": n} for o, n in sorted(found.members)]}
 
     def one(path: str, content: bytes | None, lines: list | None, was: bytes | None) -> dict:
         empty = {f.name: [] for f in schema} | {"path": path, "fine": False, "runs": None if lines is None else [], "base": None}
@@ -89,10 +92,12 @@ def module_facts(files: DataFrame, runs: DataFrame, include_types: bool, layout,
         if read is None:
             return empty | {"runs": ranges if lines is not None else None}
         m, writers = read
-        use = lambda u: {"source": u.source, "name": u.name}
+        use = lambda u: {"source": u.source, "name": u.name, "member": u.member}
+        part = lambda ps: [{"o": o, "name": n} for o, n in ps]
+        member = lambda x: {"name": x.name, "start": x.start, "end": x.end, "receiver": x.receiver, "refs": x.refs, "imports": list(map(use, x.imports)), "member_refs": part(x.member_refs), "written_by": x.written_by}
         return {
             "path": path, "fine": True, "sources": m.sources, "bare": sorted(m.bare), "stars": m.stars,
-            "decls": [{"id": i, "name": d.names[0], "start": d.start, "end": d.end, "refs": d.refs, "imports": [use(u) for u in d.imports], "writers": writers.get(i, []), "written_by": d.written_by} for i, d in enumerate(m.decls)],
+            "decls": [{"id": i, "name": d.names[0], "start": d.start, "end": d.end, "refs": d.refs, "imports": [use(u) for u in d.imports], "writers": writers.get(i, []), "written_by": d.written_by, "member_refs": part(d.member_refs), "members": list(map(member, d.members))} for i, d in enumerate(m.decls)],
             "exports": [{"name": n, "kind": k, "target": t, "other": o, "start": a, "end": b} for n, k, t, o, a, b in m.exports],
             "init_decls": sorted(m.init_decls), "init_imports": [use(u) for u in m.init_imports],
             "reads_on_load": m.reads_on_load, "import_spans": [{"start": a, "end": b, "users": u} for a, b, u in m.import_spans],
@@ -157,6 +162,8 @@ class SymbolGraph:
         lost = fine.where("base is not null").select("path", F.posexplode("base.lost").alias("pos", "name")).withColumn("pos", F.col("pos") + 50_000)
         lost = lost.select("path", "pos", "name", F.lit("lost").alias("kind"), F.lit(-1).alias("target"), F.lit(None).cast("string").alias("other"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
         self.exports = cut(exports.unionByName(lost))
+        members = self.decls.select("path", F.col("id").alias("o"), F.col("name").alias("object"), F.posexplode("members").alias("pos", "m")).select("path", "o", "object", "pos", F.col("m.name").alias("member"), *[f"m.{c}" for c in ("start", "end", "receiver", "refs", "imports", "member_refs", "written_by")])
+        self.members = cut(members.withColumn("node", node("Member", "path", F.concat("object", F.lit("."), "member"))))
         self.is_fine = self.fine.select(F.col("path").alias("g"), F.lit(True).alias("g_fine"))
         self.leaf_edges, self.layout = leaf_edges, layout
         stars = fine.select("path", F.explode("stars").alias("source")).join(self.placed, ["path", "source"], "left").select("path", "target")
@@ -204,9 +211,14 @@ class SymbolGraph:
     def _used(self, uses: DataFrame) -> DataFrame:
         """Import uses (path, from, ord, source, name) to edges."""
         placed = uses.join(self.placed.where("target is not null"), ["path", "source"]).withColumnRenamed("target", "g")
-        named = self._named(placed.where("name is not null").select("src", "ord", "g", "name")).withColumn("sub", F.lit(0).cast("long"))
+        # a member of an exported object, if the export is such an object and has it
+        objects = self.exports.where("kind = 'local'").select(F.col("path").alias("g"), "name", F.col("target").alias("o"))
+        known = objects.join(self.members.select(F.col("path").alias("g"), "o", "member", F.col("node").alias("dst")), ["g", "o"]).select("g", "name", "member", "dst")
+        told = placed.where("name is not null").join(known, ["g", "name", "member"], "left")
+        members = told.where("dst is not null").select("src", "dst", "ord", F.lit(0).cast("long").alias("sub"))
+        named = self._named(told.where("dst is null").select("src", "ord", "g", "name")).withColumn("sub", F.lit(0).cast("long"))
         every = self._all(placed.where("name is null").select("src", "ord", "g"))
-        return named.select("src", "dst", "ord", "sub").unionByName(every.select("src", "dst", "ord", "sub"))
+        return members.unionByName(named.select("src", "dst", "ord", "sub")).unionByName(every.select("src", "dst", "ord", "sub"))
 
     def runs_on_import(self, paths: DataFrame) -> DataFrame:
         """(path, may_run) by the nearest package's claim."""
@@ -249,8 +261,9 @@ class SymbolGraph:
         parts.append(opaque.select(node("ModuleInit", "path").alias("src"), node("File", "path").alias("dst"), zero.alias("ord"), zero.alias("sub")))
         # declarations
         parts.append(to_decls(self.decls.select("path", decl.alias("src"), F.posexplode("refs").alias("ord", "t"))))
-        uses = self.decls.select("path", decl.alias("src"), F.posexplode("imports").alias("ord", "u")).select("path", "src", (100_000 + F.col("ord")).cast("long").alias("ord"), "u.source", "u.name")
+        uses = self.decls.select("path", decl.alias("src"), F.posexplode("imports").alias("ord", "u")).select("path", "src", (100_000 + F.col("ord")).cast("long").alias("ord"), "u.*")
         parts.append(self._used(uses))
+        parts += self._member_edges(to_decls)
         # exports
         local = self.exports.where("kind = 'local'").select("path", node("Export", "path", "name").alias("src"), F.col("target").alias("t"))
         parts.append(to_decls(local.withColumn("ord", F.lit(0))))
@@ -258,7 +271,9 @@ class SymbolGraph:
         written = [to_decls(writers.withColumn("ord", F.col("ord") + 10_000_000))]
         unnamed = self.decls.select("path", decl.alias("src"), F.posexplode("written_by").alias("ord", "t"))
         written.append(to_decls(unnamed.withColumn("ord", F.col("ord") + 10_000_000)))
-        again = self.exports.where("kind in ('reexport', 'all')").select("path", node("Export", "path", "name").alias("src"), zero.alias("ord"), F.col("target").alias("source"), F.expr("if(kind = 'all', null, other)").alias("name"))
+        unnamed = self.members.select("path", F.col("node").alias("src"), F.posexplode("written_by").alias("ord", "t"))
+        written.append(to_decls(unnamed.withColumn("ord", F.col("ord") + 10_000_000)))
+        again = self.exports.where("kind in ('reexport', 'all')").select("path", node("Export", "path", "name").alias("src"), zero.alias("ord"), F.col("target").alias("source"), F.expr("if(kind = 'all', null, other)").alias("name"), F.lit(None).cast("string").alias("member"))
         parts.append(self._used(again))
         parts.append(self._star_exports())
         if self.inline:
@@ -272,7 +287,7 @@ class SymbolGraph:
         every = self.facts.where("fine") if self.inline else fine
         if self.inline:
             parts.append(to_decls(every.select("path", init.alias("src"), F.posexplode("reads_on_load").alias("ord", "t")).withColumn("ord", F.col("ord") + 1_000_000)))
-        reads = every.select("path", init.alias("src"), F.posexplode("init_imports").alias("ord", "u")).select("path", "src", (100_000 + F.col("ord")).cast("long").alias("ord"), "u.source", "u.name")
+        reads = every.select("path", init.alias("src"), F.posexplode("init_imports").alias("ord", "u")).select("path", "src", (100_000 + F.col("ord")).cast("long").alias("ord"), "u.*")
         parts.append(self._used(reads))
         bare = self.facts.where("fine").select("path", F.explode("bare").alias("source"), F.lit(True).alias("bare"))
         asked = self.placed.where("target is not null").join(bare, ["path", "source"], "left").join(may.select(F.col("path").alias("target"), F.col("may_run").alias("target_runs")), "target", "left")
@@ -287,6 +302,22 @@ class SymbolGraph:
         out = out.where("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("ord", "sub")).alias("o"), F.min("writer").alias("writer"))
         return out.select("src", "dst", "o.*", "writer").withColumn("ord", rank.cast("long")).select("src", "dst", "ord", "writer")
 
+    def _member_edges(self, to_decls: Callable[[DataFrame], DataFrame]) -> list[DataFrame]:
+        """Edges of objects to their members, and of members to what they use themselves."""
+        zero, own = F.lit(0).cast("long"), self.members.select("path", "o", F.col("member").alias("name"), F.col("node").alias("dst"))
+        src = F.col("node").alias("src")
+
+        def to_members(rows: DataFrame) -> DataFrame:
+            return rows.join(own, ["path", "o", "name"]).select("src", "dst", F.col("ord").cast("long").alias("ord"), zero.alias("sub"))
+
+        whole = self.members.select(node("Decl", "path", "object").alias("src"), F.col("node").alias("dst"), (50_000 + F.col("pos")).cast("long").alias("ord"), zero.alias("sub"))
+        reads = self.decls.select("path", node("Decl", "path", "name").alias("src"), F.posexplode("member_refs").alias("ord", "r")).select("path", "src", (20_000 + F.col("ord")).alias("ord"), "r.*")
+        among = self.members.select("path", src, F.posexplode("member_refs").alias("ord", "r")).select("path", "src", (20_000 + F.col("ord")).alias("ord"), "r.*")
+        refs = to_decls(self.members.select("path", src, F.posexplode("refs").alias("ord", "t")))
+        uses = self.members.select("path", src, F.posexplode("imports").alias("ord", "u")).select("path", "src", (100_000 + F.col("ord")).cast("long").alias("ord"), "u.*")
+        back = self.members.where("receiver").select(src, node("Decl", "path", "object").alias("dst"), F.lit(5_000_000).cast("long").alias("ord"), zero.alias("sub"))
+        return [whole, to_members(reads), refs, to_members(among), self._used(uses), back]
+
     def running(self, edges: DataFrame, entries: list[str], gaps: DataFrame) -> DataFrame | None:
         """(node) of the declarations that a build from ``entries`` can run: a writer changes what
         others read only where something that is no such edge leads to it. None, and every writer
@@ -298,13 +329,15 @@ class SymbolGraph:
             return None
         # an entry's own statements run, whatever its package claims
         own = asked.select("path", node("File", "path").alias("node"))
-        uses = self.facts.where("fine").join(asked, "path", "left_semi").select(node("File", "path").alias("src"), "path", F.posexplode("init_imports").alias("ord", "u")).select("path", "src", F.col("ord").cast("long").alias("ord"), "u.source", "u.name")
+        uses = self.facts.where("fine").join(asked, "path", "left_semi").select(node("File", "path").alias("src"), "path", F.posexplode("init_imports").alias("ord", "u")).select("path", "src", F.col("ord").cast("long").alias("ord"), "u.*")
         seeds = own.select("node").unionByName(self._used(uses).select(F.col("dst").alias("node")))
         seen = cut(closure.reach(edges.where("not writer"), seeds.distinct()).select("node"))
         paths = seen.select(path_of("node").alias("path")).distinct()
         if not gaps.where(F.col("kind") < files_plan.IN_REPO).join(paths, "path", "left_semi").isEmpty():
             return None
-        return seen.where(F.col("node").startswith("Decl(") | F.col("node").startswith("Member("))
+        # a member is code that its object holds
+        held = seen.join(self.members, "node").select(node("Decl", "path", "object").alias("node"))
+        return seen.where(F.col("node").startswith("Decl(")).unionByName(held).distinct()
 
     def _star_exports(self) -> DataFrame:
         """Names that only stars can provide: to the same name in every star target that could."""
@@ -338,19 +371,26 @@ def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph:
     known = changed.join(fine, "path").where("base is not null").select("path", "base.*")
     whole = changed.join(fine.where("runs is not null or base is not null").select("path"), "path", "left_anti").select(node("File", "path").alias("node"))
     whole = whole.unionByName(known.where("whole").select(node("File", "path").alias("node")))
-    by_id = graph.decls.select("path", F.col("id").alias("d"), node("Decl", "path", "name").alias("node"))
-    told = known.select("path", F.explode("decls").alias("d")).join(by_id, ["path", "d"]).select("node")
+    # a declaration stands for its members too, but for edits that lie in a member alone
+    of_decl = graph.decls.select("path", F.col("id").alias("d"), node("Decl", "path", "name").alias("node")).unionByName(graph.members.select("path", F.col("o").alias("d"), "node"))
+    told = known.select("path", F.explode("decls").alias("d")).join(of_decl, ["path", "d"]).select("node")
+    parts = known.select("path", F.explode("members").alias("m")).select("path", "m.*")
+    told = told.unionByName(parts.join(graph.members.select("path", "o", F.col("member").alias("name"), "node"), ["path", "o", "name"]).select("node"))
     names = known.select("path", F.explode(F.concat("exports", "lost")).alias("name")).select(node("Export", "path", "name").alias("node"))
     told = told.unionByName(names).unionByName(known.where("init").select(node("ModuleInit", "path").alias("node")))
     ranges = fine.where("runs is not null and base is null").select("path", F.explode("runs").alias("r")).select("path", "r.low", "r.high", "r.quiet").where("not quiet").drop("quiet").distinct()
     empty = changed.join(fine.where("runs is not null and size(runs) = 0 and base is null").select("path"), "path", "left_semi").select(node("File", "path").alias("node"))
-    decls = graph.decls.select("path", "start", "end", F.array(node("Decl", "path", "name")).alias("nodes"))
+    every = of_decl.groupBy("path", "d").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    spans = graph.decls.select("path", F.col("id").alias("d"), "start", "end", "members").join(every, ["path", "d"])
+    decls = spans.select("path", "start", "end", "nodes")
+    # what frames the members: before the first and behind the last
+    frame = F.when(F.size("members") == 0, F.array(F.struct("start", "end"))).otherwise(F.array(F.struct("start", F.element_at("members", 1)["start"].alias("end")), F.struct(F.element_at("members", -1)["end"].alias("start"), "end")))
+    framed = spans.select("path", F.explode(frame).alias("s"), "nodes").select("path", "s.*", "nodes").unionByName(graph.members.select("path", "start", "end", F.array("node").alias("nodes")))
     exports = graph.exports.select("path", "start", "end", F.array(node("Export", "path", "name")).alias("nodes"))
-    names = graph.decls.select("path", F.col("id").alias("u"), node("Decl", "path", "name").alias("n"))
+    names = of_decl.select("path", F.col("d").alias("u"), F.col("node").alias("n"))
     imports = fine.select("path", F.explode("import_spans").alias("s")).select("path", "s.start", "s.end", F.explode("s.users").alias("u")).join(names, ["path", "u"])
     imports = imports.groupBy("path", "start", "end").agg(F.collect_set("n").alias("nodes")).withColumn("nodes", F.concat("nodes", F.array(node("ModuleInit", "path"))))
-    spans = decls.unionByName(exports).unionByName(imports)
-    met = cut(intervals.interval_join(spans, ranges, ["path"]))
+    met = cut(intervals.interval_join(framed.unionByName(exports).unionByName(imports), ranges, ["path"]))
     gaps = ranges.join(met.select("path", "low", "high").distinct(), ["path", "low", "high"], "left_anti")
     beside = gaps.join(decls, "path", "left").groupBy("path", "low", "high").agg(F.max_by("nodes", F.when(F.col("end") <= F.col("low"), F.col("end"))).alias("before"), F.min_by("nodes", F.when(F.col("start") >= F.col("high"), F.col("start"))).alias("after"))
     beside = beside.select(F.explode(F.concat(F.coalesce("before", F.array().cast("array<string>")), F.coalesce("after", F.array().cast("array<string>")), F.array(node("ModuleInit", "path")))).alias("node"))
@@ -358,6 +398,8 @@ def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph:
     # what reads a moved import, and the initialisation; a moved star makes the whole file new
     src = fine.select("path", F.posexplode("sources").alias("source", "specifier")).join(moved, ["path", "specifier"], "left_semi")
     readers = graph.decls.select("path", "name", F.explode("imports").alias("u")).select("path", "name", "u.source").join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("Decl", "path", "name").alias("node"))
+    parts = graph.members.select("path", "node", F.explode("imports").alias("u")).select("path", "node", "u.source").join(src.select("path", "source"), ["path", "source"], "left_semi").select("node")
+    readers = readers.unionByName(parts)
     again = graph.exports.where("kind in ('reexport', 'all')").select("path", "name", F.col("target").alias("source")).join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("Export", "path", "name").alias("node"))
     stars = fine.select("path", F.explode("stars").alias("source")).join(src.select("path", "source"), ["path", "source"], "left_semi").select(node("File", "path").alias("node"))
     rest = moved.join(fine.select("path"), "path", "left_anti").select(node("File", "path").alias("node"))

@@ -46,10 +46,28 @@ class Opaque(Exception):
 
 @dataclass
 class Use:
-    """An import that something uses: export name, or None for the whole module."""
+    """An import that something uses: export name, or None for the whole module; the member of the
+    export's value that alone is read, or None for all of it."""
 
     source: int
     name: str | None
+    member: str | None = None
+
+
+@dataclass
+class Member:
+    """A property of an object literal that is only ever read by its properties' names. Its span
+    reaches from the line or comma before it to its own end of line or comma."""
+
+    name: str
+    start: int
+    end: int
+    tokens: list[Token]
+    receiver: bool  # calling it may read the whole object
+    refs: list[int] = field(default_factory=list)
+    imports: list[Use] = field(default_factory=list)
+    member_refs: list[tuple[int, str]] = field(default_factory=list)
+    written_by: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -64,6 +82,13 @@ class Decl:
     imports: list[Use] = field(default_factory=list)
     writes: list[int] = field(default_factory=list)
     written_by: list[int] = field(default_factory=list)  # who may write to what it uses
+    member_refs: list[tuple[int, str]] = field(default_factory=list)  # objects of which one member is used
+    members: list[Member] = field(default_factory=list)
+
+    @property
+    def needs(self) -> set[int]:
+        """All declarations that it uses in some way."""
+        return {*self.refs, *self.written_by, *(o for o, _ in self.member_refs)}
 
 
 @dataclass
@@ -219,6 +244,8 @@ class _Reader:
         self.mentions = 0
         self.assigned_exports: list[tuple[str, str, int, str | None, int, int]] = []
         self.pieces: list[Piece] = []
+        self.objects: dict[int, list[Member]] = {}
+        self.used_whole: set[int] = set()
 
     def source(self, spec: str) -> int:
         if spec not in self.m.sources:
@@ -471,8 +498,59 @@ class _Reader:
             if t.text == names[0] and eq_.text == "=" and t is not target[0]
         )
         self.bodies.append((d, part))
+        if kind == "const" and not pattern and len(names) == 1 and not runs and (members := self.object_members(value)):
+            self.objects[d] = members
         return d
 
+    def object_members(self, v: list[Token]) -> list[Member] | None:
+        """The properties of a plain object literal; None if some cannot be told apart: spread or
+        computed ones, accessors, generators, names that come twice, a prototype."""
+        if len(v) < 3 or v[0].text != "{" or v[-1].text != "}" or any(t.text == "}" and t.depth == v[0].depth for t in v[:-1]):
+            return None
+        inner, part, parts = v[0].depth + 1, [], []
+        for t in v[1:]:
+            if t is v[-1] or t.text == "," and t.depth == inner:
+                if part:
+                    parts.append((part, t))
+                part = []
+            else:
+                part.append(t)
+        out, at = [], self._line_end(v[0].end, parts[0][0][0].start) if parts else 0
+        for n, (part, stop) in enumerate(parts):
+            end = v[-1].start if n + 1 == len(parts) else self._line_end(stop.end, parts[n + 1][0][0].start)
+            key, after = part[0], part[1].text if len(part) > 1 else ""
+            if key.text == "async" and len(part) > 2 and part[1].kind == "name" and part[2].text == "(":
+                key, value = part[1], part[2:]
+            elif key.kind not in ("name", "string") or key.text in ("get", "set", "async", "static") and after not in ("", ":", "("):
+                return None
+            elif after == ":":
+                value = part[2:]
+            elif after == "(" and part[-1].text == "}":
+                value = part[1:]
+            elif not after and key.kind == "name":
+                value = part
+            else:
+                return None
+            name = _text(key) if key.kind == "string" else key.text
+            if not value or name == "__proto__" or not re.fullmatch(r"[A-Za-z_$][\w$]*", name) or any(m.name == name for m in out):
+                return None
+            out.append(Member(name, at, end, value, self.may_read_receiver(value, after == "(")))
+            at = end
+        return out
+
+    def _line_end(self, at: int, before: int) -> int:
+        """Behind the first line end after ``at``, if there is one before the next token."""
+        end = self.text.find("\n", at, before)
+        return end + 1 if end >= 0 else before
+
+    def may_read_receiver(self, v: list[Token], method: bool) -> bool:
+        """Whether calling the member may read the object that it is called on."""
+        if any(t.text in ("this", "super", "arguments", "eval") or t.kind == "template" and "this" in t.text for t in v):
+            return True
+        if method or self.is_function(v) or v[0].text in ("{", "[") and v[-1].text in ("}", "]") and not any(t.depth == v[0].depth for t in v[1:-1]):
+            return False
+        return not (len(v) == 1 and (v[0].kind in ("string", "number", "template", "regex") or v[0].text in ("true", "false", "null", "undefined")))
+
     # --- what runs
 
     @staticmethod
@@ -559,28 +637,51 @@ class _Reader:
     # --- uses
 
     def uses(self, owner: int | None, body: list[Token]) -> None:
+        refs, imports, writes, parts = self.read_uses(owner, body)
+        if owner is None:
+            self.m.init_decls |= refs.keys() | writes.keys()
+            self.m.init_imports += [u for u in imports if u not in self.m.init_imports]
+            self.init_writes = getattr(self, "init_writes", set()) | writes.keys()
+            return
+        own = self.m.decls[owner]
+        own.refs = [r for r in refs if r != owner]
+        own.imports = imports
+        own.writes = [x for x in writes if x != owner]
+        own.member_refs = [p for p in parts if p[0] != owner]
+        if own.runs:
+            self.m.init_decls.add(owner)
+        for m in self.objects.get(owner, ()):
+            # a shorthand's name is a use; the parts of the object itself are told one by one
+            refs, m.imports, _, parts = self.read_uses(None, m.tokens)
+            m.refs, m.member_refs = [r for r in refs if r != owner], list(parts)
+
+    def read_uses(self, owner: int | None, body: list[Token]) -> tuple[dict[int, None], list[Use], dict[int, None], dict[tuple[int, str], None]]:
+        """(declarations, imports, declarations that may be written to, (object, member) read) of a body."""
         refs: dict[int, None] = {}
-        imports: dict[tuple[int, str | None], None] = {}
+        imports: dict[tuple[int, str | None, str | None], None] = {}
         writes: dict[int, None] = {}
+        parts: dict[tuple[int, str], None] = {}
         own = self.m.decls[owner] if owner is not None else None
         for i, t in enumerate(body):
             if t.kind == "template" or t.kind == "string" and "{" in t.text:
                 inner = t.text if t.kind == "string" else "".join(re.findall(r"\$\{(.*?)\}(?=[^}]|$)", t.text, re.S)) or (t.text if "${" in t.text else "")
                 for n in re.findall(r"(?<![.\w$])[A-Za-z_$][\w$]*", inner):
-                    self.use(n, None, refs, imports)
-                    if n in self.named and not self.m.decls[self.named[n]].fixed:
-                        writes[self.named[n]] = None
+                    self.use(n, None, None, refs, imports)
+                    if n in self.named:
+                        self.used_whole.add(self.named[n])
+                        if not self.m.decls[self.named[n]].fixed:
+                            writes[self.named[n]] = None
                 continue
             if t.kind != "name":
                 continue
             last, nxt = body[i - 1].text if i else "", body[i + 1].text if i + 1 < len(body) else ""
             if t.text == "import" and nxt == "(" or t.text == "require" and nxt == "(":
                 if i + 2 < len(body) and body[i + 2].kind == "string":
-                    imports[(self.source(_text(body[i + 2])), None)] = None
+                    imports[(self.source(_text(body[i + 2])), self.asked_of_call(body, i), None)] = None
                     continue
                 raise Opaque("computed import")
             if t.text == "URL" and last == "new" and i + 2 < len(body) and body[i + 2].kind == "string" and _text(body[i + 2]).startswith("."):
-                imports[(self.source(_text(body[i + 2])), None)] = None
+                imports[(self.source(_text(body[i + 2])), None, None)] = None
             if last in (".", "?.") and not (i > 1 and body[i - 2].text == "."):
                 continue
             if nxt == ":" and last in ("{", ",") and t.depth > body[0].depth:
@@ -588,28 +689,47 @@ class _Reader:
             if own is not None and t.text in own.names and i == 0 and not own.names[0].startswith("exports."):
                 continue
             member = body[i + 2].text if nxt in (".", "?.") and i + 2 < len(body) and body[i + 2].kind == "name" else None
-            self.use(t.text, member, refs, imports)
+            part = member if last not in ("delete", "++", "--", "<", "</", "...") and not (i + 3 < len(body) and body[i + 3].text in ASSIGN) else None
+            self.use(t.text, member, part, refs, imports)
             d = self.named.get(t.text)
-            if d is not None and not self.m.decls[d].fixed and (self.assigned(body, i) if self.m.decls[d].plain else self.writes(body, i)):
+            if d is None:
+                continue
+            written = not self.m.decls[d].fixed and (self.assigned(body, i) if self.m.decls[d].plain else self.writes(body, i))
+            if written:
                 writes[d] = None
-        if own is None:
-            self.m.init_decls |= refs.keys()
-            self.m.init_imports += [Use(*k) for k in imports if Use(*k) not in self.m.init_imports]
-            self.m.init_decls |= writes.keys()
-            self.init_writes = getattr(self, "init_writes", set()) | writes.keys()
-        else:
-            own.refs = [r for r in refs if r != owner]
-            own.imports = [Use(*k) for k in imports]
-            own.writes = [x for x in writes if x != owner]
-            if own.runs:
-                self.m.init_decls.add(owner)
+            reads = d in self.objects and part is not None and any(m.name == part for m in self.objects[d])
+            # calling a member is no write of an object whose members are told apart
+            called = reads and i + 3 < len(body) and body[i + 3].text == "("
+            if not reads or written and not called:
+                self.used_whole.add(d)
+            else:
+                parts[(d, part)] = None
+                if called:
+                    writes.pop(d, None)
+        return refs, [Use(*k) for k in imports], writes, parts
+
+    @staticmethod
+    def asked_of_call(body: list[Token], i: int) -> str | None:
+        """The one name that is read of what ``require`` or an awaited ``import`` gives: the member
+        that follows, if it is not written to or called with the module as its object."""
+        close = i + 3
+        if close >= len(body) or body[close].text != ")":
+            return None
+        if body[i].text == "import":
+            if i < 2 or body[i - 1].text != "await" or body[i - 2].text != "(" or close + 1 >= len(body) or body[close + 1].text != ")":
+                return None
+            close += 1
+        if close + 2 < len(body) and body[close + 1].text == "." and body[close + 2].kind == "name":
+            after = body[close + 3].text if close + 3 < len(body) else ""
+            return None if after in ASSIGN or after == "(" else body[close + 2].text
+        return None
 
-    def use(self, name: str, member: str | None, refs: dict, imports: dict) -> None:
+    def use(self, name: str, member: str | None, part: str | None, refs: dict, imports: dict) -> None:
         if name in self.named:
             refs[self.named[name]] = None
         elif name in self.bindings:
             source, export = self.bindings[name]
-            imports[(source, member if export is None else export)] = None
+            imports[(source, member, None) if export is None else (source, export, part)] = None
 
     @staticmethod
     def assigned(body: list[Token], i: int) -> bool:
@@ -660,6 +780,9 @@ class _Reader:
                 for w in ws:
                     if w != u and w not in m.decls[u].refs and w not in m.decls[u].written_by:
                         m.decls[u].written_by.append(w)
+        for members in self.objects.values():
+            for x in members:
+                x.written_by = [w for r in x.refs for w in self.writers[r] if w not in x.refs]
         # values that read an import as they load, themselves or through what they use
         reading = {i for i, d in enumerate(m.decls) if d.imports}
         while more := {i for i, d in enumerate(m.decls) if i not in reading and reading & set(d.refs)}:
@@ -667,9 +790,22 @@ class _Reader:
         m.reads_on_load = sorted(i for i in reading if not self.late[i])
         grown = set(m.init_decls)
         while grown:
-            new = {r for d in grown for r in (*m.decls[d].refs, *m.decls[d].written_by)} - m.init_decls
+            new = {r for d in grown for r in m.decls[d].needs} - m.init_decls
             m.init_decls |= new
             grown = new
+        self.settle_objects()
+
+    def settle_objects(self) -> None:
+        """Objects of which only members are read keep their members; whoever reads one of them
+        needs that member instead of the object."""
+        m = self.m
+        apart = {d for d in self.objects if d not in self.used_whole and not m.decls[d].runs and not self.writers[d]}
+        for d in apart:
+            m.decls[d].members = self.objects[d]
+        for user in [*m.decls, *(x for d in apart for x in self.objects[d])]:
+            user.member_refs = [p for p in user.member_refs if p[0] in apart]
+            told = {o for o, _ in user.member_refs}
+            user.refs = [r for r in user.refs if r not in told]
 
 
 def read_pieces(text: str, include_types: bool = False, pure: frozenset[tuple[str, str]] = PURE) -> tuple[_Reader, str] | None:
