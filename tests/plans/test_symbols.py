@@ -51,6 +51,7 @@ CASES = {
     "member": (MEMBERS, "src/api.ts", "() => 1", "() => 5"),
     "gone member": (MEMBERS, "src/api.ts", "  a: () => 1,\n", ""),
     "mutated": (MEMBERS | {"src/api.ts": API + "api.a = other;\n"}, "src/api.ts", "return 2", "return 3"),
+    "repointed": (MEMBERS | {"src/api.ts": "const one = { a: () => 1 };\nconst two = { a: () => 2 };\nexport { one as api };\n"}, "src/api.ts", "one as api", "two as api"),
     "asked": ({"src/Page.tsx": 'export const Page = () => require("./lib").used();\nexport const more = require("./lib").unused;\n', "src/Other.tsx": 'export const Other = async () => (await import("./lib/b")).b;\n'}, "src/lib/b.ts", "= 2", "= 4"),
 }
 
@@ -79,6 +80,7 @@ def test_symbols(spark):
     assert set(got["member"]) == {"src/Page.tsx", "src/Inc.tsx", "src/Version.tsx"}
     assert got["member"]["src/Page.tsx"] == ["File(src/Page.tsx)", "Decl(src/Page.tsx, Page)", "Member(src/api.ts, api.a)"]
     assert {"src/Page.tsx", "src/Inc.tsx"} <= set(got["gone member"]) and set(got["mutated"]) == set(ANCHORS)
+    assert set(got["repointed"]) == set(ANCHORS)
     # a call gets the module as its object, so that all of it counts; a name that is read is one export
     assert set(got["asked"]) == {"src/Page.tsx", "src/Other.tsx"}
     assert got["asked"]["src/Other.tsx"][-2:] == ["Export(src/lib/b.ts, b)", "Decl(src/lib/b.ts, b)"] or got["asked"]["src/Other.tsx"][-1] == "Export(src/lib/b.ts, b)"

@@ -88,7 +88,8 @@ def members(text):
 
 def test_object_members():
     m, parts = members(API)
-    assert {n: x.receiver for n, x in parts.items()} == {"a": False, "b": False, "c": False, "d": True, "e": False, "f": True}
+    assert {n: x.receiver for n, x in parts.items()} == {"a": False, "b": False, "c": False, "d": False, "e": False, "f": True}
+    assert members(API.replace("return 2", "return this"))[1]["d"].receiver and members(API.replace("  d,", "  d: x,"))[1]["d"].receiver
     assert parts["a"].refs == [0] and parts["d"].refs == [2] and parts["e"].member_refs == [(1, "a")]
     assert [(u.name, u.member) for u in parts["b"].imports] == [("x", "go")]
     assert m.decls[3].member_refs == [(1, "a"), (1, "c")] and m.decls[3].refs == []

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.shared import cut
+from tidemark.shared import cut, discard
 
 
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
@@ -40,12 +40,13 @@ def least_sources(edges: DataFrame, sources: DataFrame) -> DataFrame:
     pass over the graph serves all sources, however many.
     """
     edges = cut(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")).distinct())
-    level = cut(sources.select("node", F.col("node").alias("source")).distinct())
-    known = level
+    first = known = level = cut(sources.select("node", F.col("node").alias("source")).distinct())
     while not level.isEmpty():
         told = level.join(edges, F.col("node") == F.col("__src")).groupBy(F.col("__dst").alias("node")).agg(F.min("source").alias("source"))
         level = cut(told.join(known.withColumnRenamed("source", "was"), "node", "left").where("was is null or source < was").select("node", "source"))
-        known = cut(known.join(level.select("node"), "node", "left_anti").unionByName(level))
+        was, known = known, cut(known.join(level.select("node"), "node", "left_anti").unionByName(level))
+        if was is not first:
+            discard(was)
     return known
 
 

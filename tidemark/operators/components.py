@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.skew import join_frequent
+from tidemark.shared import discard
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -47,7 +48,8 @@ def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame]
     for _ in range(max_rounds):
         if _only_stars(now):
             break
-        now = cut(_small_star(_large_star(now, now.count())))
+        was, now = now, cut(_small_star(_large_star(now, now.count())))
+        discard(was)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     root = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

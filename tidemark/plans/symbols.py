@@ -376,8 +376,11 @@ def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph:
     told = known.select("path", F.explode("decls").alias("d")).join(of_decl, ["path", "d"]).select("node")
     parts = known.select("path", F.explode("members").alias("m")).select("path", "m.*")
     told = told.unionByName(parts.join(graph.members.select("path", "o", F.col("member").alias("name"), "node"), ["path", "o", "name"]).select("node"))
-    names = known.select("path", F.explode(F.concat("exports", "lost")).alias("name")).select(node("Export", "path", "name").alias("node"))
-    told = told.unionByName(names).unionByName(known.where("init").select(node("ModuleInit", "path").alias("node")))
+    # an export statement that is touched may name another object than it did: its members count too
+    forwards = graph.exports.where("kind = 'local'").select("path", F.col("name").alias("export"), "start", "end", F.col("target").alias("o")).join(graph.members.select("path", "o", "node"), ["path", "o"])
+    names = known.select("path", F.explode(F.concat("exports", "lost")).alias("export"))
+    told = told.unionByName(names.join(forwards, ["path", "export"]).select("node"))
+    told = told.unionByName(names.select(node("Export", "path", "export").alias("node"))).unionByName(known.where("init").select(node("ModuleInit", "path").alias("node")))
     ranges = fine.where("runs is not null and base is null").select("path", F.explode("runs").alias("r")).select("path", "r.low", "r.high", "r.quiet").where("not quiet").drop("quiet").distinct()
     empty = changed.join(fine.where("runs is not null and size(runs) = 0 and base is null").select("path"), "path", "left_semi").select(node("File", "path").alias("node"))
     every = of_decl.groupBy("path", "d").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
@@ -387,6 +390,9 @@ def symbol_marks(facts: DataFrame, changed: DataFrame, moved: DataFrame, graph:
     frame = F.when(F.size("members") == 0, F.array(F.struct("start", "end"))).otherwise(F.array(F.struct("start", F.element_at("members", 1)["start"].alias("end")), F.struct(F.element_at("members", -1)["end"].alias("start"), "end")))
     framed = spans.select("path", F.explode(frame).alias("s"), "nodes").select("path", "s.*", "nodes").unionByName(graph.members.select("path", "start", "end", F.array("node").alias("nodes")))
     exports = graph.exports.select("path", "start", "end", F.array(node("Export", "path", "name")).alias("nodes"))
+    # one that stands apart from its declaration
+    apart = forwards.join(graph.decls.select("path", F.col("id").alias("o"), F.col("start").alias("own")), ["path", "o"]).where("start <> own")
+    exports = exports.unionByName(apart.select("path", "start", "end", F.array("node").alias("nodes")))
     names = of_decl.select("path", F.col("d").alias("u"), F.col("node").alias("n"))
     imports = fine.select("path", F.explode("import_spans").alias("s")).select("path", "s.start", "s.end", F.explode("s.users").alias("u")).join(names, ["path", "u"])
     imports = imports.groupBy("path", "start", "end").agg(F.collect_set("n").alias("nodes")).withColumn("nodes", F.concat("nodes", F.array(node("ModuleInit", "path"))))

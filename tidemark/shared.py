@@ -25,27 +25,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _home(spark: SparkSession) -> str:
-    """This application's folder of intermediate tables; it goes when the application ends."""
-    at = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+def _path(spark: SparkSession, at: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return at
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _own(spark: SparkSession) -> str:
+    """What the names of this application's intermediate tables begin with."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}-"
 
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application now, for sessions that live long:
     results that were not written elsewhere can no longer be read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_home(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _path(spark, _own(spark) + "*")
+    for found in files.globStatus(path) or ():
+        files.delete(found.getPath(), True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``cut`` made and that nothing reads any more."""
+    if at := getattr(df, "_tidemark_cut", None):
+        path, files = _path(df.sparkSession, at)
+        files.delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: the lineage ends there, and lost
-    executors take nothing with them."""
-    path = f"{_home(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executors take nothing with them. It is deleted when the application ends."""
+    spark = df.sparkSession
+    at = _own(spark) + uuid.uuid4().hex
+    path, files = _path(spark, at)
+    df.write.parquet(at)
+    files.deleteOnExit(path)
+    made = spark.read.schema(df.schema).parquet(at)
+    made._tidemark_cut = at
+    return made

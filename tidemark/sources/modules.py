@@ -543,9 +543,13 @@ class _Reader:
         end = self.text.find("\n", at, before)
         return end + 1 if end >= 0 else before
 
+    @staticmethod
+    def says_this(v: list[Token]) -> bool:
+        return any(t.text in ("this", "super", "arguments", "eval", "class") or t.kind == "template" and "this" in t.text for t in v)
+
     def may_read_receiver(self, v: list[Token], method: bool) -> bool:
         """Whether calling the member may read the object that it is called on."""
-        if any(t.text in ("this", "super", "arguments", "eval") or t.kind == "template" and "this" in t.text for t in v):
+        if self.says_this(v):
             return True
         if method or self.is_function(v) or v[0].text in ("{", "[") and v[-1].text in ("}", "]") and not any(t.depth == v[0].depth for t in v[1:-1]):
             return False
@@ -800,8 +804,14 @@ class _Reader:
         needs that member instead of the object."""
         m = self.m
         apart = {d for d in self.objects if d not in self.used_whole and not m.decls[d].runs and not self.writers[d]}
+        bodies = {owner: body for owner, body in self.bodies if owner is not None}
         for d in apart:
             m.decls[d].members = self.objects[d]
+            for x in self.objects[d]:
+                # a function of this module that nothing can replace, which never says ``this``
+                named = self.named.get(x.tokens[0].text) if len(x.tokens) == 1 else None
+                if x.receiver and named is not None and m.decls[named].fixed and not m.decls[named].runs:
+                    x.receiver = self.says_this(bodies[named])
         for user in [*m.decls, *(x for d in apart for x in self.objects[d])]:
             user.member_refs = [p for p in user.member_refs if p[0] in apart]
             told = {o for o, _ in user.member_refs}
