@@ -107,3 +107,16 @@ def test_config():
     for bad in ("[resolve]\nother = 1", "aliases = 3", "x =", "inline-requires = 1"):
         with pytest.raises(config.ConfigError):
             config.read_config("", bad)
+
+
+def test_a_project_that_extends_nothing():
+    """It cannot be read, so it maps nothing; projects of any name are asked for by those that name them."""
+    from tidemark.functions.resolution import named_projects
+
+    own = '{"extends": "./base.json", "compilerOptions": {"paths": {"@/*": ["./src/*"]}}}'
+    layout = Layout({"tsconfig.json": own}, {})
+    assert layout.project_for("src/a.ts") is None and layout.consulted("src/a.ts") >= {"tsconfig.json", "base.json"}
+    assert "base.json" in named_projects({"tsconfig.json": own})
+    both = Layout({"tsconfig.json": own, "base.json": '{"compilerOptions": {"baseUrl": "."}}'}, {})
+    assert both.project_for("src/a.ts").paths and both.project_for("src/a.ts").base == ""
+    assert named_projects({"a/tsconfig.json": '{"references": [{"path": "../b"}], "extends": ["@x/y"]}'}) >= {"b", "b/tsconfig.json", "a/node_modules/@x/y.json", "node_modules/@x/y/tsconfig.json"}

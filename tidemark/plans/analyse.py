@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.resolution import Bundler, Layout, Resolver, alias_targets, joined
+from tidemark.functions.resolution import Bundler, Layout, Resolver, alias_targets, joined, named_projects
 from tidemark.functions.text import STYLES, is_source, is_style, package_name
 from tidemark.functions.types import erased, runs_nothing
 from tidemark.operators import closure, folds, matching
@@ -61,22 +61,27 @@ class Change:
 def read_layout(files: DataFrame, config_name: str = CONFIG) -> tuple[Layout, dict[str, str]]:
     """The tree's configuration and, by file, what is wrong with it."""
     name = F.element_at(F.split("path", "/"), -1)
-    small = files.where((name == config_name) | F.col("path").endswith(".json")).select("path", "content")
+    small = files.where((name == config_name) | (name == "package.json") | name.rlike(r"^[tj]sconfig.*\.json$")).select("path", "content")
     if small.count() > MAX_CONFIG_FILES:
         raise ValueError(f"more than {MAX_CONFIG_FILES} configuration files")
-    texts, declared, errors = {}, {}, {}
-    for r in small.collect():
-        try:
-            text = bytes(r["content"]).decode()
-        except UnicodeDecodeError:
-            continue
-        if posixpath.basename(r["path"]) == config_name:
+    texts, declared, errors, asked = {}, {}, {}, set()
+    while not small.isEmpty():
+        for r in small.collect():
             try:
-                declared[posixpath.dirname(r["path"])] = read_config(posixpath.dirname(r["path"]), text)
-            except ConfigError as e:
-                errors[r["path"]] = str(e)
-        else:
-            texts[r["path"]] = text
+                text = bytes(r["content"]).decode()
+            except UnicodeDecodeError:
+                continue
+            if posixpath.basename(r["path"]) == config_name:
+                try:
+                    declared[posixpath.dirname(r["path"])] = read_config(posixpath.dirname(r["path"]), text)
+                except ConfigError as e:
+                    errors[r["path"]] = str(e)
+            else:
+                texts[r["path"]] = text
+        # projects may go on in files of any name
+        more = named_projects(texts) - texts.keys() - asked
+        asked |= more
+        small = files.join(F.broadcast(files.sparkSession.createDataFrame([(p,) for p in sorted(more)], "path string")), "path", "left_semi").select("path", "content")
     return Layout(texts, declared), errors
 
 

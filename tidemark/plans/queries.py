@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import closure, folds, intervals, matching
+from tidemark.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,10 +78,10 @@ def q01_reach_fk(spark, d):
 
 @query(f"WITH RECURSIVE e AS MATERIALIZED ({FK_SQL}), r(node, hops) AS (SELECT 'o:' || o_orderkey, 0 FROM orders UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node) SELECT split_part(node, ':', 1) AS kind, CAST(hops AS BIGINT) AS hops, count(DISTINCT node) AS n FROM r GROUP BY ALL")
 def q02_reach_fk_cte(spark, d):
-    """The same in Spark's own recursion, which only bounded depth allows: each level's rows are
-    grouped, so levels stay as small as the nodes."""
+    """The same as one plan, for a graph of known depth: four levels, each of different nodes only.
+    Spark's own recursion has no such step between levels and stops at a million rows."""
     level = t(spark, d, "orders").select(F.concat(F.lit("o:"), "o_orderkey").alias("node"))
-    edges, out = fk_edges(spark, d), None
+    edges, out = cut(fk_edges(spark, d)), None
     for hops in range(4):
         told = level.select("node", F.lit(hops).cast("long").alias("hops"))
         out = told if out is None else out.unionByName(told)
@@ -119,7 +120,7 @@ def q06_first_hit(spark, d):
 
 @query("SELECT 'c:' || c_custkey AS anchor, CAST(2 AS BIGINT) AS hops, 'c:' || c_custkey || '>n:' || c_nationkey || '>r:' || n_regionkey AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey")
 def q07_witness_path(spark, d):
-    edges = fk_edges(spark, d).withColumn("ord", F.lit(0))
+    edges = cut(fk_edges(spark, d).withColumn("ord", F.lit(0)))
     anchors = t(spark, d, "customer").select(F.concat(F.lit("c:"), "c_custkey").alias("anchor"), F.concat(F.lit("c:"), "c_custkey").alias("node"), F.lit(0).alias("pos"))
     visited, hits = closure.search(edges, anchors, t(spark, d, "region").select(F.concat(F.lit("r:"), "r_regionkey").alias("node")))
     return closure.witness(visited, hits).select("anchor", (F.size("path") - 1).cast("long").alias("hops"), F.array_join("path", ">").alias("path"))
@@ -128,7 +129,7 @@ def q07_witness_path(spark, d):
 @query(f"WITH RECURSIVE e AS MATERIALIZED ({FK_SQL}), quiet(node) AS (SELECT 'c:' || c_custkey FROM customer WHERE c_acctbal < 0 UNION SELECT e.dst FROM quiet q JOIN e ON e.src = q.node AND rule <> 'region'), gate AS (SELECT node FROM quiet WHERE node LIKE 'n:%'), r(node) AS (SELECT 'o:' || o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node WHERE rule <> 'region' OR e.src IN (SELECT node FROM gate)) SELECT DISTINCT node FROM r")
 def q08_running_gate(spark, d):
     """Edges of one rule are followed only from nodes that a closure without that rule reaches."""
-    edges = fk_edges(spark, d)
+    edges = cut(fk_edges(spark, d))
     debtors = t(spark, d, "customer").where("c_acctbal < 0")
     gate = closure.reach(edges.where("rule <> 'region'"), debtors.select(F.concat(F.lit("c:"), "c_custkey").alias("node"))).select(F.col("node").alias("src"))
     followed = edges.where("rule <> 'region'").unionByName(edges.where("rule = 'region'").join(gate, "src", "left_semi"))
@@ -150,6 +151,13 @@ def q10_pure_fixpoint(spark, d):
     return closure.least_fixpoint(dear.select(F.col("p_partkey").alias("node")), edges)
 
 
+@query(f"WITH RECURSIVE e AS MATERIALIZED ({FK_SQL}), r(node, source) AS (SELECT 'o:' || o_orderkey, 'o:' || o_orderkey FROM orders WHERE o_orderstatus = 'P' UNION SELECT e.dst, r.source FROM r JOIN e ON e.src = r.node) SELECT node, min(source) AS source FROM r GROUP BY node")
+def q45_least_sources(spark, d):
+    """Of the pending orders that lead to a node, the least."""
+    seeds = t(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o:"), "o_orderkey").alias("node"))
+    return closure.least_sources(fk_edges(spark, d), seeds)
+
+
 # --- intervals, matching, windows over documents ------------------------------------------------
 
 LINES_SQL = "lines AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS line, unnest(range(len(string_split(text, E'\\n')))) AS idx FROM documents WHERE text IS NOT NULL)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Exit codes of a run.
+# The sentences that people and programs read, and the exit codes of a run.
 AFFECTED, NOT_AFFECTED, NO_ANSWER = 0, 1, 2
 
 
