@@ -111,7 +111,7 @@ def test_config():
 
 def test_a_project_that_extends_nothing():
     """It cannot be read, so it maps nothing; projects of any name are asked for by those that name them."""
-    from tidemark.functions.resolution import named_projects
+    from tidemark.functions.resolution import Layout, named_projects
 
     own = '{"extends": "./base.json", "compilerOptions": {"paths": {"@/*": ["./src/*"]}}}'
     layout = Layout({"tsconfig.json": own}, {})

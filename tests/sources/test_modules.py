@@ -109,3 +109,38 @@ def test_objects_that_stay_whole(part):
 def test_names_asked_of_calls():
     m, _ = read_module('const a = require("./x").go;\nconst b = async () => (await import("./y")).go;\nconst c = require("./z");\nconst e = require("./w").f();\nconst g = import("./v");\n')
     assert [[(m.sources[u.source], u.name) for u in d.imports] for d in m.decls] == [[("./x", "go")], [("./y", "go")], [("./z", None)], [("./w", None)], [("./v", None)]]
+
+
+@pytest.mark.parametrize(
+    "text, runs",
+    [
+        ("const one = () => 1;\nconst a = one();", []),
+        ("function one(x: number) { const y = x; return { y }; }\nconst a = one(2);", []),
+        ("const one = () => two();\nconst two = () => 2;\nconst a = one();", []),
+        ("import { memo } from 'react';\nconst one = (x) => memo(x);\nconst a = one(1);", []),
+        ("const a = one();\nfunction one() { return 1; }", []),
+        ("const a = one();\nfunction one() { return k; }\nconst k = 1;", ["a"]),
+        ("const a = one();\nconst one = () => 1;", ["a"]),
+        ("const one = () => start();\nconst a = one();", ["a"]),
+        ("const one = () => one();\nconst a = one();", ["a"]),
+        ("const one = (f) => f();\nconst a = one(start);", ["a"]),
+        ("const two = () => 1;\nconst one = (two) => two();\nconst a = one(start);", ["a"]),
+        ("let n = 0;\nconst one = () => { n = 1; return n; };\nconst a = one();", ["a"]),
+        ("const one = () => { if (x) { start(); } return 1; };\nconst a = one();", ["a"]),
+        ("const one = () => 1;\nconst a = one(start());", ["a"]),
+        ("const one = async () => 1;\nconst a = one();", ["a"]),
+        ("function one() { return this.x; }\nconst a = one();", ["a"]),
+        ("const one = ({ x }) => x;\nconst a = one();", ["a"]),
+        ("const one = (x = start()) => x;\nconst a = one();", ["a"]),
+        ("let one = () => 1;\nconst a = one();", ["a"]),
+        ("const one = () => 1;\nconst a = new one();", ["a"]),
+        ("const k = { v: 1 };\nfunction one() { return k.v; }\nconst a = one();", ["a"]),
+        ("function one(x) { return { x }; }\nconst a = one(globalThis.b.c);", ["a"]),
+        ("const one = (x) => x[0];\nconst a = one(1);", ["a"]),
+        ("const one = () => elsewhere;\nconst a = one();", ["a"]),
+        ("const one = () => () => start();\nconst a = one();", []),
+        ("const o = { one: start };\nconst one = () => 1;\nconst a = o.one();", ["a"]),
+    ],
+)
+def test_local_helpers(text, runs):
+    assert facts(text + "\n")["runs"] == runs

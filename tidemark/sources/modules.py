@@ -26,6 +26,8 @@ NO_END = set("=,+-*/%&|^<.?:([{!~") | {"=>", "&&", "||", "??", "==", "===", "!="
 NO_START = set("=,+*/%&|^<>.?:)]}([") | {"=>", "&&", "||", "??", "==", "===", "!=", "!==", "?.", "+=", "-=", "extends", "instanceof", "in", "of", "as", "else", "catch", "finally", "while_"}
 ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "**=", "&=", "|=", "^=", "<<=", ">>=", ">>>=", "&&=", "||=", "??=", "++", "--"}
 DECLARES = {"const", "let", "var", "function", "class", "enum", "async", "abstract"}
+#: Words and names that an expression may hold without running anything or failing.
+PLAIN_WORDS = frozenset("undefined null true false NaN Infinity typeof void".split())
 # Calls that only make a value, by source and name.
 PURE = frozenset({("react", "memo"), ("react", "forwardRef"), ("react", "createContext"), ("react", "lazy")})
 
@@ -246,6 +248,8 @@ class _Reader:
         self.pieces: list[Piece] = []
         self.objects: dict[int, list[Member]] = {}
         self.used_whole: set[int] = set()
+        self.values: dict[int, list[Token]] = {}  # of a declaration that has one, not taken apart
+        self.quiet: dict[str, int] = {}  # local functions that are proven to run nothing
 
     def source(self, spec: str) -> int:
         if spec not in self.m.sources:
@@ -275,6 +279,7 @@ class _Reader:
                 self.m.exports.append((name, "all" if export is None else "reexport", source, export, a, b))
             else:
                 raise Opaque("export")
+        self.prove_helpers()
         for owner, body in self.bodies:
             self.uses(owner, body)
         self.settle()
@@ -498,6 +503,8 @@ class _Reader:
             if t.text == names[0] and eq_.text == "=" and t is not target[0]
         )
         self.bodies.append((d, part))
+        if not pattern and value:
+            self.values[d] = value
         if kind == "const" and not pattern and len(names) == 1 and not runs and (members := self.object_members(value)):
             self.objects[d] = members
         return d
@@ -557,6 +564,98 @@ class _Reader:
 
     # --- what runs
 
+    def prove_helpers(self) -> None:
+        """Calls of local functions that are proven to run nothing are no reason for a value to
+        run. Leaves are proven first; what calls itself never is. A helper may only be called
+        behind everything that it reads and that is not hoisted."""
+        functions = {}
+        for owner, body in self.bodies:
+            value = self.values.get(owner) if owner in self.values else body
+            if owner is not None and self.m.decls[owner].fixed and not self.m.decls[owner].runs and len(self.m.decls[owner].names) == 1 and value and self.is_function(value):
+                functions[self.m.decls[owner].names[0]] = owner, value
+        while new := {n: o for n, (o, v) in functions.items() if n not in self.quiet and self.named.get(n) == o and self.quiet_function(v)}:
+            self.quiet |= new
+        if not self.quiet:
+            return
+        said = {o: {self.named[t.text] for t in body if t.kind == "name" and t.text in self.named} for o, body in self.bodies if o is not None}
+
+        def ready(d: int) -> bool:
+            seen, queue = set(), [d]
+            while queue:
+                for r in said.get(queue.pop(), set()) - seen - {d}:
+                    seen.add(r)
+                    if not self.hoisted[r] and r > d:
+                        return False
+                    if r in self.quiet.values():
+                        queue.append(r)
+            return True
+
+        for d, value in self.values.items():
+            if self.m.decls[d].runs and self.surely_quiet(value, set()) and ready(d):
+                self.m.decls[d].runs = False
+
+    def surely_quiet(self, v: list[Token], local: set[str]) -> bool:
+        """Whether evaluating runs nothing and cannot fail either: no property is read, which may
+        run an accessor or fail, and no name that this module does not know."""
+        if self.expression_runs(v):
+            return False
+        if v and self.is_function(v):
+            return True
+        skip, i = self.function_parts(v), 0
+        while i < len(v):
+            if i in skip:
+                i = skip[i]
+                continue
+            t, last, nxt = v[i], v[i - 1] if i else None, v[i + 1].text if i + 1 < len(v) else ""
+            if t.text in (".", "?.") or t.text == "[" and last is not None and (last.kind == "name" or last.text in (")", "]", "}")):
+                return False
+            key = nxt == ":" and last is not None and last.text in ("{", ",")
+            if t.kind == "name" and not key and nxt != "=>" and t.text not in local and t.text not in self.named and t.text not in self.bindings and t.text not in PLAIN_WORDS:
+                return False
+            i += 1
+        return True
+
+    def quiet_function(self, v: list[Token]) -> bool:
+        """Whether calling it surely runs nothing: plain parameters, and a body of constants and
+        results whose expressions run nothing."""
+        i = 0
+        if v[0].text == "function":
+            i = 2 if v[1].kind == "name" else 1
+        if v[i].text == "(":
+            close = next(k for k in range(i + 1, len(v)) if v[k].text == ")" and v[k].depth == v[i].depth)
+            params, rest = v[i + 1 : close], v[close + 1 :]
+        elif v[i].kind == "name" and v[i].text != "async":
+            params, rest = [v[i]], v[i + 1 :]
+        else:
+            return False
+        if any(t.kind == "sign" and t.text not in (",", "?", ":", "|", "[", "]", ".") for t in params) or any(t.text in ("[", "...") and (k == 0 or params[k - 1].text == ",") for k, t in enumerate(params)):
+            return False
+        if any(t.text in ("this", "super", "arguments", "async", "await", "yield", "throw", "delete") for t in v):
+            return False
+        local = {t.text for k, t in enumerate(params) if t.kind == "name" and (k == 0 or params[k - 1].text == ",")}
+        if v[0].text != "function":
+            if not rest or rest[0].text != "=>":
+                return False
+            rest = rest[1:]
+            if rest and rest[0].text != "{":
+                return not local & (self.quiet.keys() | self.bindings.keys()) and self.surely_quiet(rest, local)
+        if not rest or rest[0].text != "{" or rest[-1].text != "}":
+            return False
+        base = rest[0].depth + 1
+        for s in statements([Token(t.kind, t.text, t.start, t.end, t.line_before, t.depth - base) for t in rest[1:-1]]):
+            s = s[:-1] if s[-1].text == ";" else s
+            if s[0].text == "const" and len(s) > 3 and s[1].kind == "name" and s[2].text == "=" and not any(t.text == "," and t.depth == 0 for t in s):
+                local.add(s[1].text)
+                value = s[3:]
+            elif s[0].text == "return":
+                value = s[1:]
+            else:
+                return False
+            if not self.surely_quiet(value, local):
+                return False
+        # a parameter or constant of the name of what is trusted is something else
+        return not local & (self.quiet.keys() | self.bindings.keys())
+
     @staticmethod
     def is_function(v: list[Token]) -> bool:
         i = 1 if v[0].text == "async" and len(v) > 1 else 0
@@ -609,6 +708,8 @@ class _Reader:
                 return False
             at = holder[1] or "*"
             return (self.m.sources[holder[0]], f"{at}.{name}") in self.pure or at in ("*", "default") and (self.m.sources[holder[0]], name) in self.pure
+        if name in self.quiet and (paren < 2 or v[paren - 2].text not in (".", "?.", "new")):
+            return True
         holder = self.bindings.get(name)
         return holder is not None and holder[1] is not None and (paren < 2 or v[paren - 2].text not in (".", "?.")) and (self.m.sources[holder[0]], holder[1]) in self.pure
 
